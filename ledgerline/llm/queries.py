@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_codec, simhash_dedup, substring_dedup, token_counts, topk_search
+from . import decontamination, html_text, language_id, line_dedup, piece_codec, quality_classifier, simhash_dedup, substring_dedup, token_counts, topk_search
 from .common import table
 
 
@@ -28,10 +28,32 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.topk_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_model(), limit=4096)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return language_id.language_id(table(spark, sf_dir, "documents"), held_out)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.html_text(table(spark, sf_dir, "pages"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = piece_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer_model())
     return piece_codec.digests(out)
@@ -42,7 +64,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_topk_search, op4_token_counts, op9_piece_codec, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_topk_search, op3_line_dedup, op4_token_counts, op5_language_id, op6_html_text, op7_quality_classifier, op8_decontamination, op9_piece_codec, op10_simhash_dedup)}
 
 _OP1 = r"""
 WITH words AS (
@@ -76,4 +98,46 @@ WITH good AS (
 SELECT * FROM ranked WHERE rank <= 10
 """
 
-ORACLES = {"op1_substring_dedup": _OP1, "op2_topk_search": _OP2}
+_OP3 = r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) - 1 AS p, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+), parsed AS (
+  SELECT doc_id, p, regexp_replace(trim(regexp_replace(line, '[ 	]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM lines
+), counted AS (
+  SELECT *, string_split(m, ' ') AS t, len(string_split(m, ' ')) AS n, array_to_string(string_split(m, ' ')[1:4], ' ') AS path
+  FROM parsed WHERE m <> '' AND len(string_split(m, ' ')) >= 5
+), masked AS (
+  SELECT m, t, n, path, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM counted GROUP BY ALL
+), mixed AS (
+  SELECT n, path, sum(docs) AS leaf_docs FROM masked GROUP BY n, path HAVING count(*) > 1 AND sum(docs) >= 3
+), rows_in AS (
+  SELECT a.*, leaf_docs FROM masked a JOIN mixed b ON a.n = b.n AND a.path = b.path
+), tokens AS (
+  SELECT n, path, leaf_docs, docs, generate_subscripts(t[5:], 1) - 1 AS pos, unnest(t[5:]) AS token FROM rows_in
+), hits AS (
+  SELECT n, path, leaf_docs, pos, token, sum(docs) AS hits FROM tokens GROUP BY ALL
+), form AS (
+  SELECT n, path, pos, token FROM hits WHERE hits >= 0.5 * leaf_docs
+  QUALIFY row_number() OVER (PARTITION BY n, path, pos ORDER BY hits DESC, token) = 1
+), alike AS (
+  SELECT r.m, r.n, r.path, r.docs, r.first
+  FROM (SELECT m, n, path, docs, first, generate_subscripts(t[5:], 1) - 1 AS pos, unnest(t[5:]) AS token FROM rows_in) r
+  JOIN form f ON r.n = f.n AND r.path = f.path AND r.pos = f.pos AND r.token = f.token
+  GROUP BY ALL HAVING count(*) >= 0.6 * (r.n - 4)
+), general AS (
+  SELECT m, min(first) OVER (PARTITION BY n, path) AS first, sum(docs) OVER (PARTITION BY n, path) AS docs FROM alike
+), recurring AS (
+  SELECT m, min(first) AS first FROM (
+    SELECT m, first FROM masked WHERE docs >= 2 UNION ALL SELECT m, first FROM general WHERE docs >= 3) GROUP BY m
+), gone AS (
+  SELECT DISTINCT c.doc_id, c.p FROM counted c JOIN recurring r ON c.m = r.m AND c.doc_id > r.first
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.p) AS n_dropped, string_agg(CASE WHEN g.p IS NULL THEN l.line END, chr(10) ORDER BY l.p) AS t
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.p = g.p GROUP BY l.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+ORACLES = {"op1_substring_dedup": _OP1, "op2_topk_search": _OP2, "op3_line_dedup": _OP3}

@@ -1,0 +1 @@
+"""ledgerline: versioned key-value data as Spark relations."""

@@ -91,9 +91,13 @@ def ranked(texts: list[str], size: int) -> list[np.ndarray]:
 def learn(labelled: DataFrame, size: int = 400, sample_per_language: int = 2000) -> dict[str, np.ndarray]:
     """Profiles from rows of (_key, _text, _lang), each language's n-grams in
     order of frequency. Of a language, at most ``sample_per_language`` rows."""
+    rows = labelled.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull()).withColumn("_hash", F.shiftrightunsigned(F.xxhash64("_key"), 33))
+    # a share of the hashes that holds the sample, so that other texts don't move
+    share = F.least(F.lit(1.0), F.lit(1.25 * sample_per_language + 50) / F.count("*"))
+    cutoffs = rows.groupBy("_lang").agg((share * (1 << 31)).alias("_cutoff"))  # a row for each language
+    near = rows.join(cutoffs, "_lang").where("_hash < _cutoff").select("_lang", "_hash", "_key", "_text")
     w = Window.partitionBy("_lang").orderBy("_hash", "_key", "_text")
-    rows = labelled.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull()).withColumn("_hash", F.xxhash64("_key"))
-    few = rows.select("_lang", "_hash", "_key", "_text").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= sample_per_language)
+    few = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= sample_per_language)
 
     def count(batches):
         for b in batches:

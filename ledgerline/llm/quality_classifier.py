@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexed, as_bytes, map_batches, runs_by_size
+from .common import Lexed, as_bytes, cut, map_batches, runs_by_size
 from .substring_dedup import word_hashes
 
 #: Frequent function words (fixed values), four languages.
@@ -247,7 +247,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         p = votes(*statistics(texts)) @ _BASE
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(p.astype(np.int32))], ["_key", "pattern"])
 
-    voted = map_batches(docs, vote, "_key string, pattern int")
+    voted = cut(map_batches(docs, vote, "_key string, pattern int"), "votes")  # texts are judged once
     ranked = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3^labellers rows at most
     codes = np.array(sorted(r.pattern for r in ranked), np.int64)
     count_of = {r.pattern: r.n for r in ranked}

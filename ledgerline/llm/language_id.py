@@ -31,6 +31,8 @@ from .common import map_batches
 from .pieces import text_runs
 
 UNKNOWN = "und"
+#: Labels that aren't a small set are an error, not a larger broadcast.
+MAX_LANGUAGES = 10_000
 _LIMIT = 1 << 16
 _symbols: np.ndarray | None = None
 
@@ -94,8 +96,11 @@ def learn(labelled: DataFrame, size: int = 400, sample_per_language: int = 2000)
     rows = labelled.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull()).withColumn("_hash", F.shiftrightunsigned(F.xxhash64("_key"), 33))
     # a share of the hashes that holds the sample, so that other texts don't move
     share = F.least(F.lit(1.0), F.lit(1.25 * sample_per_language + 50) / F.count("*"))
-    cutoffs = rows.groupBy("_lang").agg((share * (1 << 31)).alias("_cutoff"))  # a row for each language
-    near = rows.join(cutoffs, "_lang").where("_hash < _cutoff").select("_lang", "_hash", "_key", "_text")
+    cutoffs = [(r[0], r[1]) for r in rows.groupBy("_lang").agg((share * (1 << 31)).alias("_cutoff")).limit(MAX_LANGUAGES + 1).collect()]
+    if len(cutoffs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    limits = labelled.sparkSession.createDataFrame(cutoffs, "_lang string, _cutoff double")
+    near = rows.join(F.broadcast(limits), "_lang").where("_hash < _cutoff").select("_lang", "_hash", "_key", "_text")
     w = Window.partitionBy("_lang").orderBy("_hash", "_key", "_text")
     few = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= sample_per_language)
 

@@ -123,3 +123,32 @@ def breaker_states(events: DataFrame, threshold: int = 5, open_us: int = 30_000_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["node", "seq", "state"])
 
     return nodes.mapInArrow(run, "node string, seq long, state string")
+
+
+def token_bucket(events: DataFrame, burst: int, period_us: int) -> DataFrame:
+    """key, seq, allowed for requests (key, seq, ts_us): a bucket of ``burst``
+    tokens for each key, one more every ``period_us``. Rows stream through a
+    task in order, only the bucket is held."""
+    rows = events.select("key", "seq", "ts_us").repartition("key").sortWithinPartitions("key", "ts_us", "seq")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, tokens, since = object(), burst, 0
+        for b in batches:
+            out = []
+            for k, ts in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if k != key:
+                    key, tokens, since = k, burst, ts
+                gained = (ts - since) // period_us
+                tokens, since = min(burst, tokens + gained), since + gained * period_us
+                out.append(tokens > 0)
+                tokens -= tokens > 0
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["key", "seq", "allowed"])
+
+    return rows.mapInArrow(run, "key string, seq long, allowed boolean")
+
+
+def sample_peers(members: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """k live peers without replacement, the same for a seed."""
+    return members.where("state = 'alive'").orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(k)

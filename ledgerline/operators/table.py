@@ -90,6 +90,16 @@ class KVTable:
         """Live entries one by one, a partition at a time on the driver."""
         return self.scan(prefix).toLocalIterator()
 
+    def neighbours(self, prefix: str = "") -> DataFrame:
+        """key, before, after: a cursor's steps from each key. Keys are ranked by
+        ranges and joined by rank, as a window over all keys would be one task."""
+        from .merkle import global_rank
+
+        own = global_rank(resolve.live(with_prefix(self.log, prefix), self.rule).select("key"))
+        before = own.select((F.col("rank") + 1).alias("rank"), F.col("key").alias("before"))
+        after = own.select((F.col("rank") - 1).alias("rank"), F.col("key").alias("after"))
+        return own.join(before, "rank", "left").join(after, "rank", "left").select("key", "before", "after")
+
     def pages(self, size: int, prefix: str = "") -> Iterator[list]:
         """Lists of at most ``size`` entries by keyset pagination."""
         after = None

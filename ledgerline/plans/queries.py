@@ -502,3 +502,124 @@ def live_by_owner(spark, d):
     state = ring.owners(resolve.live(fx.entries(spark, d)), ring.Ring(fx.NODES))
     size = (F.octet_length("key") + F.octet_length("value")).cast("long")
     return state.groupBy("owner").agg(F.count("*").alias("live_keys"), F.sum(size).alias("bytes"))
+
+
+# more reads and summaries
+
+
+@query(f"{BASE} SELECT key, lag(key) OVER (ORDER BY key) AS before, lead(key) OVER (ORDER BY key) AS after FROM live WHERE key LIKE 'user:1%'")
+def kv_neighbours(spark, d):
+    return kv(spark, d).neighbours("user:1")
+
+
+@query(f"{BASE} SELECT key, version FROM live WHERE key < 'user:5' ORDER BY key DESC LIMIT 7")
+def kv_page_reverse(spark, d):
+    return kv(spark, d).scan(start_after="user:5", reverse=True, limit=7).select("key", "version")
+
+
+@query(f"{BASE} SELECT count(*) FILTER (live.key IS NOT NULL) AS found, count(*) FILTER (live.key IS NULL) AS missing FROM range(40) r(i) LEFT JOIN live ON live.key = 'user:' || (i * 7)")
+def kv_found_missing(spark, d):
+    got = kv(spark, d).exists([f"user:{i * 7}" for i in range(40)])
+    return got.agg(F.count_if("found").alias("found"), F.count_if(~F.col("found")).alias("missing"))
+
+
+@query(f"WITH {fx.ENTRIES} SELECT node, count(*) AS entries, CAST(sum(strlen(key) + strlen(coalesce(value, ''))) AS BIGINT) AS bytes FROM entries GROUP BY node")
+def kv_bytes_by_node(spark, d):
+    return kv(spark, d).bytes_by("node")
+
+
+@query(f"WITH {fx.ENTRIES} SELECT key, value, version FROM (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE NOT tombstone")
+def kv_scan_by_arrival(spark, d):
+    return KVTable(fx.entries(spark, d), "arrival").scan().select("key", "value", "version")
+
+
+@query(f"{BASE} SELECT key, CASE WHEN length(value) > 20 THEN value[1:17] || '...' ELSE value END AS shown FROM live")
+def kv_display(spark, d):
+    from ..model import clip_text
+
+    return kv(spark, d).scan().select("key", clip_text(F.col("value"), 20).alias("shown"))
+
+
+@query("""WITH s AS (SELECT epoch_us(ts) // 60000000 AS minute, count(*) AS n FROM events GROUP BY 1), l AS (SELECT list_sort(list(n)) AS l, count(*) AS c, avg(n::DOUBLE) AS a FROM s)
+SELECT c AS periods, round(a, 9) AS avg_n, l[CAST(least(c - 1, floor(c * 0.5::DOUBLE)) AS BIGINT) + 1] AS p50, l[CAST(least(c - 1, floor(c * 0.99::DOUBLE)) AS BIGINT) + 1] AS p99 FROM l""")
+def throughput_summary(spark, d):
+    per = telemetry.per_period(fx.requests(spark, d), 60_000_000).withColumn("all", F.lit(1))
+    p = pct.percentiles(per, ["all"], "n", {"p50": 0.5, "p99": 0.99}, "ycsb")
+    mean = per.groupBy("all").agg(F.round(F.avg(F.col("n").cast("double")), 9).alias("avg_n"))
+    return p.join(mean, "all").select(F.col("n").alias("periods"), "avg_n", "p50", "p99")
+
+
+@query(f"""WITH {_BEATS}, l AS (SELECT node, latency_ms FROM beats WHERE latency_ms IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node ORDER BY seq DESC) <= 100),
+t AS (SELECT node, CASE WHEN count(*) < 3 THEN 500 ELSE CAST(floor(greatest(50.0::DOUBLE, least(5000.0::DOUBLE, quantile_disc(latency_ms, 0.95) * 2))) AS BIGINT) END AS timeout_ms FROM l GROUP BY node), {fx.ENTRIES}, {REPLICAS}
+SELECT p.key, CAST(max(coalesce(t.timeout_ms, 500)) AS BIGINT) AS timeout_ms FROM prefs p LEFT JOIN t ON t.node = p.node GROUP BY p.key""")
+def timeout_for_replicas(spark, d):
+    spread = ring.replicas(fx.entries(spark, d).select("key").distinct(), ring.Ring(fx.NODES), 3)
+    return health.timeout_for(spread, health.adaptive_timeout(fx.heartbeats(spark, d)), ["key"])
+
+
+@query(f"WITH {_BEATS}, g AS (SELECT node, ts_us - lag(ts_us) OVER (PARTITION BY node ORDER BY ts_us) AS gap, ts_us FROM beats) SELECT node, ts_us, gap AS gap_us FROM g WHERE gap IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node ORDER BY ts_us DESC) <= 1000")
+def heartbeat_intervals(spark, d):
+    return health.latest_intervals(fx.heartbeats(spark, d)).select("node", "ts_us", "gap_us")
+
+
+@query("SELECT event_id AS seq, event_id // 100 = 3 AS valid FROM events")
+def fencing_tokens(spark, d):
+    e = fx.timed_events(spark, d).select(F.col("event_id").alias("seq"), F.expr("event_id div 100").alias("epoch"))
+    return e.select("seq", quorum.token_valid("epoch", 3).alias("valid"))
+
+
+@query(f"""SELECT operation, le, count(*) FILTER (value / 1000.0::DOUBLE <= le) AS n FROM (SELECT event_type AS operation, value FROM events WHERE value IS NOT NULL), (VALUES {", ".join(f"({b}::DOUBLE)" for b in telemetry.LATENCY_BOUNDS)}, ('inf'::DOUBLE)) v(le) GROUP BY ALL""")
+def latency_buckets(spark, d):
+    r = fx.requests(spark, d).withColumn("s", F.col("latency_ms") / 1000.0)
+    return telemetry.bucket_counts(r, "s", telemetry.LATENCY_BOUNDS, "operation")
+
+
+@query("SELECT event_type AS worker, count(*) AS n, count(*) FILTER (event_id % 10 = 0) AS errors, round(avg(value), 9) AS avg_us, min(value) AS min_us, max(value) AS max_us FROM events GROUP BY 1")
+def bench_summary(spark, d):
+    e = fx.timed_events(spark, d).select(F.col("event_type").alias("worker"), (F.col("event_id") % 10 != 0).alias("ok"), F.col("value").alias("latency_us"))
+    return telemetry.latency_summary(e, "worker").withColumn("avg_us", F.round("avg_us", 9))
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'user:' || user_id AS key, event_id AS seq, epoch_us(ts) AS ts_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+s AS (
+  SELECT key, r, seq, ts_us AS since, 1::BIGINT AS left_over, true AS allowed FROM e WHERE r = 1
+  UNION ALL
+  SELECT key, r, seq, since + gained * 60000000000, CASE WHEN have > 0 THEN have - 1 ELSE 0 END, have > 0
+  FROM (SELECT e.key, e.r, e.seq, s.since, (e.ts_us - s.since) // 60000000000 AS gained, least(2, s.left_over + (e.ts_us - s.since) // 60000000000) AS have FROM s JOIN e ON e.key = s.key AND e.r = s.r + 1)
+) SELECT key, seq, allowed FROM s""")
+def rate_limiter(spark, d):
+    e = fx.timed_events(spark, d).select(F.concat(F.lit("user:"), F.col("user_id")).alias("key"), F.col("event_id").alias("seq"), "ts_us")
+    return health.token_bucket(e, 2, 60_000_000_000)
+
+
+@query(f"""WITH {fx.ENTRIES}, h AS (SELECT key, node AS target_node, seq AS created, CAST(seq % 12 AS INTEGER) AS attempts FROM entries WHERE tombstone)
+SELECT target_node, key, created, attempts FROM h WHERE attempts < 10 AND target_node IN ('node-1', 'node-3')""")
+def hints_to_deliver(spark, d):
+    h = fx.entries(spark, d).where("tombstone").select("key", F.col("node").alias("target_node"), F.col("seq").alias("created"), (F.col("seq") % 12).cast("int").alias("attempts"))
+    return quorum.deliverable_hints(h, spark.createDataFrame([("node-1",), ("node-3",)], "node string"))
+
+
+@query(f"""WITH {fx.ENTRIES} SELECT node AS target_node, key, seq AS created FROM entries WHERE tombstone QUALIFY row_number() OVER (PARTITION BY node ORDER BY seq DESC, key DESC) <= 20""")
+def hints_capped(spark, d):
+    h = fx.entries(spark, d).where("tombstone").select(F.col("node").alias("target_node"), "key", F.col("seq").alias("created"))
+    return quorum.newest_hints(h, 20)
+
+
+@query()
+def bloom_probe(spark, d):
+    """Membership of keys that are and aren't in the table."""
+    from ..operators import bloom
+
+    keys = fx.entries(spark, d).select("key").distinct()
+    m, k = bloom.sizing(keys.count())
+    probe = keys.unionAll(spark.range(2000).select(F.concat(F.lit("absent:"), "id").alias("key")))
+    return bloom.might_contain(probe, bloom.build(keys, m, k), m, k)
+
+
+@query()
+def ycsb_oplog(spark, d):
+    """A deterministic operation log of mix A over the customers' number of records."""
+    from .. import workload
+
+    n = fx.table(spark, d, "customer").count()
+    return workload.operations(spark, workload.PROFILES["A"], n, 10 * n)

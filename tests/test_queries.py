@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import ledgerline.streaming.queries  # noqa: F401  registers its queries
 from ledgerline.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -35,7 +36,13 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(ORACLES) <= {"ycsb_oplog", "stream_breaker", "stream_latest", "stream_expiry"}
+    assert set(QUERIES) - set(ORACLES) == {"ycsb_oplog", "bloom_probe"}
+
+
+def test_bloom_filter(spark):
+    got = QUERIES["bloom_probe"](spark, SF).collect()
+    assert all(r.maybe for r in got if r.key.startswith("user:"))
+    assert sum(r.maybe for r in got if r.key.startswith("absent:")) < 0.05 * 2000
 
 
 def test_entry_points(spark):

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexed, as_bytes, mix64, runs_by_size, shuffle_partitions
+from .common import Lexed, as_bytes, cut, mix64, runs_by_size, shuffle_partitions
 
 MER = 5
 _P = 0x9E3779B97F4A7C15 | 1
@@ -263,9 +263,8 @@ def _cut_words(window: int, hot: np.ndarray, buckets: int):
     return fn
 
 
-def hot_groups(docs: DataFrame, slots: int) -> np.ndarray:
-    """Slots of the sketch of all m-word groups that hold over eight times the
-    mean (at most an eighth of ``slots`` by that rule, and at least 64 hits)."""
+def sketch_groups(docs: DataFrame, slots: int) -> tuple[DataFrame, int]:
+    """Counts of all m-word groups by slot (slot, n), and their total."""
 
     def sketch(batches):
         n = np.zeros(slots, np.int64)
@@ -279,28 +278,35 @@ def hot_groups(docs: DataFrame, slots: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["slot", "n"])
 
     counts = docs.select("_text").mapInArrow(sketch, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    limit = F.greatest(F.lit(64), (F.coalesce("total", F.lit(0)) * 8 / slots).cast("long"))
-    hot = counts.crossJoin(F.broadcast(total)).where(F.col("n") > limit).select("slot").collect()
+    counts = cut(counts, "sketch")
+    return counts, counts.agg(F.sum("n")).first()[0] or 0
+
+
+def hot_groups(counts: DataFrame, total: int, slots: int) -> np.ndarray:
+    """The slots that hold over eight times the mean (at most an eighth of all,
+    by that rule) and over 64 groups."""
     out = np.zeros(slots, bool)
-    out[[r.slot for r in hot]] = True
+    out[[r.slot for r in counts.where(F.col("n") > max(64, 8 * total // slots)).select("slot").collect()]] = True
     return out
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunks: int | None = None, buckets: int | None = None) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_words: int = 500_000, bucket_words: int = 800_000, sketch_slots: int = 1 << 16) -> DataFrame:
     """``id_col``, n_words, n_removed, kept_text of every row of ``df``.
 
     A word is removed if a window of ``window`` words that covers it occurs
     anywhere else, in the same or another document, as judged on the input.
+    A chunk has some ``chunk_words`` words of documents and a bucket the
+    super-k-mers of some ``bucket_words`` windows, so that the strings between
+    them are few and large. ``sketch_slots`` should be eight times the number
+    of buckets or more.
     """
     if window < MER:
         raise ValueError(f"window must be {MER} words at least")
-    spark = df.sparkSession
-    parts = shuffle_partitions(spark)
-    chunks, buckets = chunks or 4 * parts, buckets or 4 * parts
+    parts = shuffle_partitions(df.sparkSession)
     docs = df.select(F.col(id_col).alias("_id"), F.col(id_col).cast("string").alias("_order"), F.col(text_col).cast("binary").alias("_text"))
-    slots = 1 << max(16, (8 * buckets - 1).bit_length())
-    hot = hot_groups(docs, slots)
+    counts, total = sketch_groups(docs, sketch_slots)
+    hot = hot_groups(counts, total, sketch_slots)
+    chunks, buckets = 1 + total // chunk_words, 1 + total // bucket_words
     dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64("_order", "_text"), F.lit(chunks)).cast("int")).repartition(parts, "_chunk")
     packed = dealt.groupBy("_chunk").applyInArrow(_pack(window, hot, buckets), "bucket int, chunk int, blob binary")
     bits = packed.groupBy("bucket").applyInArrow(_count(window), "_chunk int, bucket int, bits binary")

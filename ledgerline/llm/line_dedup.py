@@ -17,10 +17,9 @@ A recurring template stays where it comes first (the smallest document key)
 and its lines are dropped from all other documents; within a document nothing
 is dropped. Lines under ``min_tokens`` tokens are no templates and stay.
 
-Scale: a document contributes each template once, so counting combines before
-the shuffle, and only 128-bit hashes and document keys move. Line texts move
-for leaves with several different lines in enough documents, each distinct line
-once. Texts move once, to meet the lines that go.
+Scale: lines are parsed once and only 128-bit hashes and document keys of them
+move. Line texts move for leaves with several different lines in enough
+documents, each distinct line once. Texts move once, to meet the lines that go.
 
 Defined results: null text stays null, empty text stays empty, and a text whose
 lines all go becomes empty. Rows with the same id and text are one document.
@@ -36,49 +35,50 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-_BLANKS = " \t\x0b\f\r"
-
-
-def _squeezed(line: Column) -> Column:
-    """A line with single blanks between tokens and none at the ends."""
-    flat = F.translate(line, "\t\x0b\f\r", "    ")
-    flat = F.when(flat.contains("  "), F.regexp_replace(flat, " +", " ")).otherwise(flat)
-    return F.trim(flat)
-
 
 def _masked(line: Column) -> Column:
-    """Tokens with an ASCII digit as ``<*>``."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
+    """A line as its tokens behind single blanks, those with an ASCII digit as
+    ``<*>``. Lines without digits and odd blanks, which are most, are left."""
+    plain = F.trim(F.regexp_replace(line, "[ \\t\\x0B\\f\\r]+", " "))
+    return F.when(line.rlike("[0-9\\t\\x0B\\f\\r]|  "), F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(F.trim(line))
 
 
 def _tokens(m: Column) -> Column:
-    return F.length(m) - F.length(F.translate(m, " ", "")) + F.when(m == "", 0).otherwise(1)
+    return F.when(m == "", 0).otherwise(1 + F.octet_length(m) - F.octet_length(F.replace(m, F.lit(" "), F.lit(""))))
 
 
 def _hashed(lines: DataFrame, min_tokens: int, depth: int) -> DataFrame:
-    """The masked lines m that count, with n (tokens), h1 and h2 (the line's
-    hash), leaf1 and leaf2 (the hash of its path in the tree)."""
+    """The lines x (m: masked, n: tokens) that count, as columns, with h1 and h2
+    (the line's hash), leaf1 and leaf2 (the hash of its path in the tree). A
+    line is masked in the array that is exploded, so it is masked once."""
     path = F.substring_index("m", " ", depth)
-    own = lines.withColumn("n", _tokens(F.col("m"))).where(F.col("n") >= min_tokens)
+    own = lines.where(F.col("x.n") >= min_tokens).select(*[c for c in lines.columns if c != "x"], "x.m", "x.n")
     return own.withColumns({"h1": F.xxhash64("m"), "h2": F.xxhash64(F.lit(1), "m"), "leaf1": F.xxhash64("n", path), "leaf2": F.xxhash64(F.lit(1), "n", path)})
 
 
+#: Slots of the broadcast that keeps most lines out of the search for variants;
+#: its size is fixed, and what passes it wrongly meets the exact join.
+LEAF_SLOTS = 1 << 18
+
+
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_generalised: int = 3, depth: int = 4, min_tokens: int = 5, constant: float = 0.5, similarity: float = 0.6) -> DataFrame:
     """The columns of ``df`` with the text cleared of recurring lines, and
     _n_lines and _n_dropped (long)."""
     key = [F.col(f"`{id_col}`").alias("_k"), F.xxhash64(F.col(f"`{text_col}`")).alias("_t")]
     doc = F.struct("_k", "_t").alias("doc")
     texts = df.where(F.col(f"`{text_col}`").isNotNull()).select(*key, F.split(F.col(f"`{text_col}`"), "\n").alias("l"))
-    each = texts.select(doc, F.posexplode("l").alias("p", "m")).withColumn("m", _masked(_squeezed(F.col("m"))))
-    lines = _hashed(each, min_tokens, depth)
-    once = texts.select(doc, F.explode(F.array_distinct(F.transform("l", lambda x: _masked(_squeezed(x))))).alias("m"))
-    found = _hashed(once, min_tokens, depth)
-    masked = cut(found.groupBy("h1", "h2", "leaf1", "leaf2", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("first")), "templates")
+    parsed = lambda ms: F.transform(ms, lambda m: F.struct(m.alias("m"), _tokens(m).alias("n")))
+    lines = _hashed(texts.select(doc, F.posexplode(parsed(F.transform("l", _masked))).alias("p", "x")), min_tokens, depth)
+    slim = cut(lines.drop("m"), "lines")
+    once = slim.groupBy("h1", "h2", "leaf1", "leaf2", "n", "doc").agg(F.lit(1).alias("one"))  # a document's lines are in one task
+    masked = cut(once.groupBy("h1", "h2", "leaf1", "leaf2", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("first")), "templates")
 
     # leaves in which different lines meet, with positions beyond the leading tokens
-    mixed = masked.where(F.col("n") > depth).groupBy("leaf1", "leaf2").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("leaf_docs") >= min_generalised)).drop("kinds")
+    mixed = cut(masked.where(F.col("n") > depth).groupBy("leaf1", "leaf2").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("leaf_docs") >= min_generalised)).drop("kinds"), "mixed")
     inner = masked.join(mixed, ["leaf1", "leaf2"])
-    full = lines.join(inner.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("m").alias("m"))
+    slot = F.pmod(F.col("leaf1"), F.lit(LEAF_SLOTS)).alias("slot")
+    near = lines.select("h1", "h2", "m", slot).join(F.broadcast(mixed.select(slot).distinct()), "slot", "left_semi")
+    full = near.join(inner.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("m").alias("m"))
     rows = cut(inner.join(full, ["h1", "h2"]), "leaves")
     tail = F.slice(F.split("m", " "), depth + 1, F.col("n") - depth)
     tokens = rows.select("leaf1", "leaf2", "leaf_docs", "docs", F.posexplode(tail).alias("pos", "token")).groupBy("leaf1", "leaf2", "leaf_docs", "pos", "token").agg(F.sum("docs").alias("hits"))
@@ -90,12 +90,16 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     general = met.select("h1", "h2", "leaf1", "leaf2").join(general, ["leaf1", "leaf2"]).select("h1", "h2", "first")
 
     recurring = masked.where(F.col("docs") >= min_docs).select("h1", "h2", "first").unionAll(general).groupBy("h1", "h2").agg(F.min("first").alias("first"))
-    gone = lines.select("doc", "h1", "h2", "p").join(recurring, ["h1", "h2"]).where(F.col("doc") > F.col("first"))
+    recurring = cut(recurring, "recurring")  # so that Spark may split the join for a hot line
+    gone = slim.select("doc", "h1", "h2", "p").join(recurring, ["h1", "h2"]).where(F.col("doc") > F.col("first"))
     marks = gone.groupBy("doc").agg(F.collect_set("p").alias("_gone"))
 
-    text = F.split(F.col("_row")[text_col], "\n")
-    left = F.when(F.col("_gone").isNull(), F.col("_row")[text_col]).otherwise(F.array_join(F.filter(text, lambda line, i: ~F.array_contains("_gone", i)), "\n"))
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.struct(*key).alias("_doc"))
-    same = keyed["_doc"].eqNullSafe(marks["doc"])
-    out = keyed.join(marks, same, "left").select("_row", left.alias("_text"), F.coalesce(F.size(text), F.lit(0)).cast("long").alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_cut"))
-    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in df.columns], F.col("_lines").alias("_n_lines"), F.greatest(F.col("_cut"), F.lit(0)).alias("_n_dropped"))
+    # lines travel as an array, so that the lambda below reads a stored column
+    rest = [c for c in df.columns if c != text_col]
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest"), F.split(F.col(f"`{text_col}`"), "\n").alias("_l"), F.struct(*key).alias("_doc"))
+    out = keyed.join(marks, keyed["_doc"].eqNullSafe(marks["doc"]), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), "_gone")
+    left = F.when(F.col("_gone").isNull(), F.col("_l")).otherwise(F.transform(stay, lambda i: F.get("_l", i)))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    out = out.select("_rest", F.array_join(left, "\n").alias("_text"), size("_l").alias("_lines"), size("_gone").alias("_cut"))
+    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in df.columns], F.col("_lines").alias("_n_lines"), F.col("_cut").alias("_n_dropped"))

@@ -1,7 +1,7 @@
 """Write-ahead logs as JSON lines: replay, count, compact, truncate.
 
-A record is {"op": "PUT" or "DEL", "key", "value" (base64), "version",
-"timestamp" (ns), "vector_clock"}. Lines that aren't records are dropped.
+A record is {"op": "PUT" or "DEL", "key", "value" (base64), "ver", "ts" (ns),
+"vc"}. Lines that aren't records are dropped.
 """
 
 from __future__ import annotations
@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD = "op string, key string, value string, version long, timestamp long, vector_clock map<string,bigint>"
+RECORD = "op string, key string, value string, ver long, ts long, vc map<string,bigint>"
 
 
 def replay(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a log, in the columns of the model; seq is the version."""
     lines = spark.read.text(path).select(F.from_json("value", RECORD).alias("r")).where("r is not null and r.key is not null and r.op in ('PUT', 'DEL')")
     return lines.select(
-        "r.key", F.unbase64("r.value").alias("value"), "r.version", F.col("r.timestamp").alias("ts_ns"), (F.col("r.op") == "DEL").alias("tombstone"),
-        F.col("r.vector_clock").alias("vclock"), F.lit(None).cast("string").alias("node"), F.col("r.version").alias("seq"),
+        "r.key", F.unbase64("r.value").alias("value"), F.col("r.ver").alias("version"), F.col("r.ts").alias("ts_ns"), (F.col("r.op") == "DEL").alias("tombstone"),
+        F.col("r.vc").alias("vclock"), F.lit(None).cast("string").alias("node"), F.col("r.ver").alias("seq"),
     )
 
 
@@ -25,7 +25,7 @@ def append(entries: DataFrame, path: str) -> None:
     """Append entries as JSON lines; clocks are kept."""
     op = F.when(F.coalesce(F.col("tombstone"), F.lit(False)), "DEL").otherwise("PUT")
     clock = F.col("vclock") if "vclock" in entries.columns else F.lit(None).cast("map<string,bigint>")
-    out = entries.select(op.alias("op"), "key", F.base64(F.col("value").cast("binary")).alias("value"), "version", F.col("ts_ns").alias("timestamp"), clock.alias("vector_clock"))
+    out = entries.select(op.alias("op"), "key", F.base64(F.col("value").cast("binary")).alias("value"), F.col("version").alias("ver"), F.col("ts_ns").alias("ts"), clock.alias("vc"))
     out.write.mode("append").json(path)
 
 

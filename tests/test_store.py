@@ -54,7 +54,7 @@ def test_an_unfinished_batch_is_not_read(spark, tmp_path):
 def test_wal_lines(spark, tmp_path):
     path = tmp_path / "wal"
     path.mkdir()
-    lines = [{"op": "PUT", "key": "k", "value": "djE=", "version": 1, "timestamp": 5, "vector_clock": {"n": 1}}, {"op": "DEL", "key": "k", "version": 2, "timestamp": 6}]
+    lines = [{"op": "PUT", "key": "k", "value": "djE=", "ver": 1, "ts": 5, "vc": {"n": 1}}, {"op": "DEL", "key": "k", "ver": 2, "ts": 6}]
     (path / "a.json").write_text("\n".join([json.dumps(lines[0]), "{torn", json.dumps(lines[1]), "", '{"op":"HM","key":"x"}']))
     got = wal.replay(spark, str(path))
     assert [(r.key, r.version, r.tombstone, r.vclock) for r in got.orderBy("version").collect()] == [("k", 1, False, {"n": 1}), ("k", 2, True, None)]
@@ -183,3 +183,43 @@ def test_ingest_replicate_and_rates(spark, files, tmp_path):
     got = drain(jobs.rates(own, "1 hour", late="1 minute"), "complete", "rates", tmp_path)
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").count()
     assert got.count() == batch.count() and got.agg(F.sum("n")).first()[0] == 1000
+
+
+def test_binary_logs(spark, tmp_path):
+    from ledgerline.sources import binary_log as bl
+
+    rows = [{"key": f"k{i}", "value": b"v" * i, "version": i, "ts_ns": 10 * i, "tombstone": i % 3 == 0} for i in range(9)]
+    good = b"".join(map(bl.write_record, rows))
+    (tmp_path / "a.log").write_bytes(good + b"\x05\x00\x00\x00to")
+    got = bl.read_log(spark, str(tmp_path / "a.log")).orderBy("place").collect()
+    assert [(r.key, bytes(r.value), r.version, r.ts_ns, r.tombstone) for r in got] == [(r["key"], r["value"], r["version"], r["ts_ns"], r["tombstone"]) for r in rows]
+    (tmp_path / "b.log").write_bytes(good[:60] + b"\xff" * 9 + good)
+    assert bl.read_log(spark, str(tmp_path / "b.log")).count() < 9
+    assert {r.key for r in bl.read_log(spark, str(tmp_path / "b.log"), resync=True).collect()} >= {r["key"] for r in rows}
+    (tmp_path / "empty.log").write_bytes(b"")
+    assert bl.read_log(spark, str(tmp_path / "empty.log")).count() == 0
+
+
+def test_table_files(spark, tmp_path):
+    import struct
+
+    import zstandard
+
+    from ledgerline.sources import binary_log as bl
+
+    def entry(key, value, version, dead, clock):
+        vc = struct.pack("<I", len(clock)) + b"".join(struct.pack("<H", len(k)) + k.encode() + struct.pack("<Q", n) for k, n in clock.items()) if clock else b""
+        return b"\xbf" + struct.pack("<I", len(key)) + key.encode() + struct.pack("<I", len(value)) + value + struct.pack("<QqB", version, 77, dead) + struct.pack("<I", len(vc)) + vc
+
+    blocks = [(entry("a", b"1" * 500, 1, 0, {"n1": 2, "n2": 3}), True), (entry("b", b"", 2, 1, {}), False), (b'{"Key":"c","Value":"eA==","Version":3,"TimeStamp":"1970-01-01T00:00:01.5Z","Tombstone":false,"VectorClock":null}', False)]
+    out, index = b"", []
+    for (data, packed), key in zip(blocks, "abc"):
+        data = zstandard.compress(data) if packed else data
+        index.append({"k": key, "o": len(out), "s": len(data) + 4, "c": packed, "b": key != "c"})
+        out += struct.pack("<I", len(data)) + data
+    tail = json.dumps(index).encode()
+    (tmp_path / "L2_001.sst").write_bytes(out + tail + b"bloom" + struct.pack("<QQQQ", len(out), len(tail), len(out) + len(tail), 5))
+    got = {r.key: r for r in bl.read_tables(spark, str(tmp_path / "L2_001.sst")).collect()}
+    assert got["a"].vclock == {"n1": 2, "n2": 3} and bytes(got["a"].value) == b"1" * 500 and got["a"].level == 2
+    assert got["b"].tombstone and got["b"].vclock is None and got["b"].ts_ns == 77
+    assert bytes(got["c"].value) == b"x" and got["c"].ts_ns == 1_500_000_000

@@ -10,6 +10,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .config import Settings
 from .model import InvalidEntry, KeyNotFound, clip_text, require_valid
 from .operators import mutate
 from .plans.store import Store
@@ -22,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--node", default="local")
     p.add_argument("--format", choices=("text", "json", "table"), default="text")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, *args in (("put", "key", "value"), ("get", "key"), ("delete", "key"), ("keys",), ("stats",), ("compact",), ("import", "file"), ("export", "file"), ("exists", "key")):
+    for name, *args in (("put", "key", "value"), ("get", "key"), ("delete", "key"), ("keys",), ("stats",), ("compact",), ("import", "file"), ("export", "file"), ("exists", "key"), ("glob", "pattern"), ("config",)):
         c = sub.add_parser(name)
         for a in args:
             c.add_argument(a)
@@ -65,6 +66,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
             rows = store.table().scan(getattr(a, "prefix", ""), **extra)
             value = clip_text(F.col("value").cast("string")).alias("value")
             show((rows.select("key") if a.command == "keys" else rows.select("key", value, "version")).toLocalIterator(), a.format, out)
+        elif a.command == "glob":
+            show(store.table().glob(a.pattern).select("key").toLocalIterator(), a.format, out)
+        elif a.command == "config":
+            print(Settings.load().text(), file=out)
         elif a.command == "stats":
             show(store.table().stats().collect(), a.format, out)
         elif a.command == "compact":

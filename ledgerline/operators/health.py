@@ -81,7 +81,17 @@ def alive_only(df: DataFrame, members: DataFrame, node: str = "node") -> DataFra
     return df.join(up, node, "left_semi")
 
 
-BREAKER_SCHEMA = "seq long, state string"
+def member_counts(members: DataFrame) -> DataFrame:
+    """One row: alive, suspect, dead, total."""
+    own = [F.count_if(F.col("state") == x).alias(x) for x in ("alive", "suspect", "dead")]
+    return members.agg(*own, F.count("*").alias("total"))
+
+
+def next_tokens(requests: DataFrame) -> DataFrame:
+    """epoch, sequence of fencing tokens: sequences start again in each epoch."""
+    w = Window.partitionBy("epoch").orderBy("seq")
+    return requests.withColumn("sequence", F.row_number().over(w).cast("long"))
+
 
 
 def breaker_step(state: tuple, ok: bool, ts_us: int, threshold: int, open_us: int, probes: int) -> tuple:

@@ -70,6 +70,11 @@ class Ring:
                 rows.append((head, max(lo, head * step), min(hi, head * step + step - 1), prefs))
         return spark.createDataFrame(rows, "_head long, _lo long, _hi long, prefs array<string>")
 
+    def sampled(self, most: int = 200) -> list[tuple[int, str]]:
+        """Every k-th position with its owner, at most ``most``, for a picture."""
+        step = max(1, -(-len(self.positions) // most))
+        return list(zip(self.positions, self.owners))[::step]
+
     def vnodes_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(zip(self.positions, self.owners)), "position long, node string")
 

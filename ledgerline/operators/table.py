@@ -50,6 +50,14 @@ class KVTable:
     def keys(self, prefix: str = "") -> DataFrame:
         return self.scan(prefix).select("key")
 
+    def glob(self, pattern: str) -> DataFrame:
+        """Live entries whose key matches a pattern of ``*`` and ``?``. The part
+        before the first of them is pushed down as a prefix."""
+        wild = min([i for i in map(pattern.find, "*?") if i >= 0], default=len(pattern))
+        own = with_prefix(self.log, pattern[:wild])
+        like = "".join({"*": "%", "?": "_"}.get(c, "\\" + c if c in "%_\\" else c) for c in pattern)
+        return resolve.live(own.where(F.col("key").like(like)), self.rule).orderBy("key")
+
     def get(self, key: str) -> DataFrame:
         return resolve.live(self.log.where(F.col("key") == key), self.rule)
 

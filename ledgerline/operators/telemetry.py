@@ -23,6 +23,16 @@ def counter_rate(samples: DataFrame, keys: list[str]) -> DataFrame:
     return own.select(*keys, "ts_us", (delta * 1e6 / (F.col("ts_us") - F.col("_t"))).alias("rate"))
 
 
+def summed_rate(samples: DataFrame, series: list[str], by: list[str], period_us: int) -> DataFrame:
+    """period, by, rate: the increase of all counters of a label set over each
+    period, per second. Resets are handled for each series first."""
+    own = counter_rate(samples, series)
+    w = Window.partitionBy(*series).orderBy("ts_us")
+    span = samples.withColumn("_t", F.lag("ts_us").over(w)).where("_t is not null").select(*series, "ts_us", (F.col("ts_us") - F.col("_t")).alias("_dt"))
+    rows = own.join(span, [*series, "ts_us"]).withColumn("period", F.floor(F.col("ts_us") / period_us))
+    return rows.groupBy("period", *by).agg((F.sum(F.col("rate") * F.col("_dt")) / period_us).alias("rate"))
+
+
 def bucket_counts(events: DataFrame, value: str, bounds: tuple[float, ...], *labels: str) -> DataFrame:
     """labels, le, n: cumulative counts by upper bound, the last is infinity."""
     own = events.where(F.col(value).isNotNull()).select(*labels, F.col(value).alias("_x"))

@@ -270,3 +270,36 @@ def test_counter_reset_and_empty_histogram(spark):
 def test_display(spark):
     r = spark.createDataFrame([("x" * 60, 2048)], "t string, n long").select(model.clip_text(F.col("t")), model.byte_text(F.col("n"))).first()
     assert len(r[0]) == 50 and r[0].endswith("...") and r[1] == "2.00 KB"
+
+
+def test_glob_and_counts(spark):
+    t = KVTable(log(spark, [(k, "v", i) for i, k in enumerate(["user:1", "user:12", "user:%", "uzer:1", "user:1x2"])]))
+    keys = lambda p: [r.key for r in t.glob(p).collect()]
+    assert keys("user:1*") == ["user:1", "user:12", "user:1x2"] and keys("user:?") == ["user:%", "user:1"]
+    assert keys("u?er:1") == ["user:1", "uzer:1"] and keys("user:%") == ["user:%"] and keys("*2") == ["user:12", "user:1x2"]
+    m = spark.createDataFrame([("a", "alive"), ("b", "dead"), ("c", "alive")], "node string, state string")
+    assert health.member_counts(m).first().asDict() == {"alive": 2, "suspect": 0, "dead": 1, "total": 3}
+    assert {r.node for r in health.sample_peers(m, 5).collect()} == {"a", "c"} and health.sample_peers(m, 1).count() == 1
+    tok = health.next_tokens(spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "epoch long, seq long"))
+    assert {tuple(r) for r in tok.collect()} == {(1, 5, 1), (1, 6, 2), (2, 7, 1)}
+    assert len(ring.Ring(["a", "b", "c"]).sampled()) <= 200
+
+
+def test_summed_rate(spark):
+    s = spark.createDataFrame([(n, "get", t * 1_000_000, 10 * t) for n in "ab" for t in range(11)], "node string, op string, ts_us long, value long")
+    got = telemetry.summed_rate(s, ["node", "op"], ["op"], 10_000_000).orderBy("period").collect()
+    assert [(r.period, r.rate) for r in got] == [(0, 18.0), (1, 2.0)]
+
+
+def test_settings(tmp_path):
+    from ledgerline.config import Settings
+
+    (tmp_path / "c.json").write_text('{"replicas": 5, "write_quorum": 3, "read_quorum": 3}')
+    s = Settings.load(str(tmp_path / "c.json"), {"LEDGERLINE_VNODES": "10", "LEDGERLINE_NODE": "n9"})
+    assert (s.replicas, s.vnodes, s.node) == (5, 10, "n9") and Settings(shuffle_partitions=7).spark_conf()
+    for bad in ({"replicas": 1}, {"vnodes": 0}):
+        with pytest.raises(ValueError):
+            Settings(**bad)
+    (tmp_path / "d.json").write_text('{"nope": 1}')
+    with pytest.raises(ValueError):
+        Settings.load(str(tmp_path / "d.json"), {})

@@ -75,8 +75,8 @@ def huge_count(sp, text: str, chunk_chars: int = 1 << 16, overlap_chars: int = 2
                     break
             if spliced:
                 break
-            if lo == now.lo:  # nothing to splice at in this chunk: encode further
-                now = _Encoded(sp, text, now.lo, min(now.hi + chunk_chars + overlap, len(text)))
+            if lo == now.lo:  # nothing to splice at in this chunk: encode twice as far
+                now = _Encoded(sp, text, now.lo, min(2 * now.hi - now.lo, len(text)))
                 if now.hi == len(text):
                     break
             else:

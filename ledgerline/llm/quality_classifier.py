@@ -260,8 +260,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         texts = as_bytes(b.column(0))
         n, stats = statistics(texts)
         p = [likely.get(int(c), 0.5) for c in votes(n, stats) @ _BASE]
-        rows = [features(t, s) for t, s in zip(texts, stats)]
-        return pa.RecordBatch.from_arrays([pa.array(p, pa.float64()), pa.array([r[0].tolist() for r in rows], pa.list_(pa.int32())), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float32()))], ["p", "at", "x"])
+        rows = [features(t, s) for t, s in zip(texts, stats)]  # packed, as the driver holds the sample's
+        at, x = ([r[0].astype("<u2").tobytes() for r in rows], [r[1].astype("<f4").tobytes() for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array(p, pa.float64()), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["p", "at", "x"])
 
     chosen = None
     for lo, hi in ((0.0, 0.5), (0.5, 1.0)):
@@ -270,13 +271,12 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         chosen = keys if chosen is None else chosen.unionAll(keys)
     # ids of the sample only: its size is the documented bound
     few = docs.join(F.broadcast(chosen.distinct()), "_key", "left_semi").select("_text").dropDuplicates()
-    got = map_batches(few, draw, "p double, at array<int>, x array<float>").collect()
-    got = sorted(((r.p, np.array(r.at), np.array(r.x)) for r in got), key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist()))
+    got = sorted((r.p, bytes(r.at), bytes(r.x)) for r in map_batches(few, draw, "p double, at binary, x binary").toLocalIterator())
     target = np.array([p for p, _, _ in got])
     if not got or (target < 0.5).all() or (target >= 0.5).all():
         sign = prior if not got else float(target.mean())
         return Model(np.zeros(DIMS), 2.0 if sign >= 0.5 else -2.0, prior, acc)
-    w, b = fit([(a, x) for _, a, x in got], target)
+    w, b = fit([(np.frombuffer(a, "<u2"), np.frombuffer(x, "<f4")) for _, a, x in got], target)
     return Model(w, b, prior, acc)
 
 

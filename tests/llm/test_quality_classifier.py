@@ -46,8 +46,8 @@ def test_statistics_of_plain_cases():
 
 def test_odd_rows(spark):
     r = random.Random(1)
-    words = "the cat of and house garden in a is green to be with river".split()
-    clean = [(i, " ".join(r.choice(words) for _ in range(60)) + ".") for i in range(60)]
+    words = "the of and in a to cat house garden green river stone walked quickly bread window paper yellow".split()
+    clean = [(i, " ".join(r.choice(words) + ("." if j % 9 == 8 else "") for j in range(60)) + ".") for i in range(60)]
     junk = [(100 + i, " ".join(r.choice(words).upper() + "!!" for _ in range(60))) for i in range(30)]
     rows = clean + junk + [(200, None), (201, ""), (202, " \n"), (203, clean[0][1]), (203, clean[0][1]), (None, clean[1][1]), (204, clean[2][1] * 500), (205, "ok")]
     df = spark.createDataFrame([(*x, "q", 1) for x in rows], "doc_id long, text string, quality string, keep int")

@@ -30,13 +30,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Lexed, as_bytes, cut, map_batches, runs_by_size, shuffle_partitions
 
 BITS = 64
 SLAB = 1 << 21
+BIT_ROWS = 1 << 16
 _U = np.uint64
 
 
@@ -57,8 +58,13 @@ def fingerprints_of(texts: list[bytes], shingle: int = 4, seed: int = 42) -> np.
         norm = lx.norm.tobytes()
         h = np.fromiter((digest(norm[a:b], seed) for a, b in zip(lx.start[at].tolist(), lx.end[last].tolist())), np.uint64, total)
         some = np.flatnonzero(n)
-        set_bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(total, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(set_bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
+        first = (np.cumsum(n) - n)[some]
+        counts = np.zeros((len(some), BITS), np.int64)
+        for a in range(0, total, BIT_ROWS):  # bits of a slab of shingles at a time, however long a text is
+            b = min(total, a + BIT_ROWS)
+            i, j = np.searchsorted(first, a, "right") - 1, np.searchsorted(first, b)
+            bits = np.unpackbits(h[a:b].astype("<u8").view(np.uint8).reshape(b - a, 8), axis=1, bitorder="little")
+            counts[i:j] += np.add.reduceat(bits, np.maximum(first[i:j], a) - a, axis=0, dtype=np.int64)
         out[lo + some] = ((2 * counts > n[some, None]).astype(np.uint64) * powers).sum(axis=1, dtype=np.uint64)
     return out
 
@@ -192,6 +198,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = cut(fingerprints(df, id_col, text_col, shingle, seed), "fingerprints")
     each = own.groupBy("fp").agg(F.min(id_col).alias("_least"))
     roots = components(links(each.select("fp"), radius))
-    each = each.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = each.withColumn("component_id", F.min("_least").over(Window.partitionBy("root"))).select("fp", "component_id")
+    each = cut(each.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    # a large component: its minimum combines before the shuffle, and Spark may split the join
+    least = cut(each.groupBy("root").agg(F.min("_least").alias("component_id")), "least")
+    named = each.join(least, "root").select("fp", "component_id")
     return own.join(named, "fp").select(id_col, "fp", "component_id")

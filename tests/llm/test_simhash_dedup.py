@@ -55,6 +55,14 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_slabs_of_bits(monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 3, 4, 5, 50, 7, 200, 6, 4, 0, 9)]
+    for rows in (1, 2, 7, 64, 1000):
+        monkeypatch.setattr(m, "BIT_ROWS", rows)
+        assert m.fingerprints_of([t.encode() for t in texts]).tolist() == [brute_fp(t) for t in texts]
+
+
 def test_chain_is_one_component(spark):
     fps = [0, 0b1111, 0b11111111, 0b111111111111, 1 << 63, (1 << 63) | 0b1111 << 20, (2**64 - 1) ^ 0b11]
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")

@@ -66,3 +66,11 @@ def test_repeated_rows_leave_one(spark, made):
     d, _, _ = made
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "zz yy"), (None, "zz yy")], "doc_id long, text string")
     assert sorted((tuple(r) for r in cp.one_of_each_group(spark, docs, d).collect()), key=str) == [(1, "a b c"), (None, "zz yy")]
+
+
+def test_short_lines_go_too(spark):
+    rows = [(1, "All rights reserved.\nabcdefgh\none"), (2, "abcdefgh\ntwo\n\nAll  rights reserved."), (3, "\nPage 4\nthree"), (4, "Page 5\n\nfour")]
+    out = cp.without_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    want = [(i, t) for i, t, _, _ in brute_lines(rows, min_tokens=1)]
+    assert sorted(tuple(r) for r in out.collect()) == want
+    assert dict(want) == {1: rows[0][1], 2: "two\n", 3: rows[2][1], 4: "\nfour"}

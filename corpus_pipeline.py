@@ -2,8 +2,9 @@
 the one before it kept.
 
 The first four return the columns of ``documents``: quality and decontamination
-drop documents, line de-duplication rewrites ``text`` (and ``n_chars``), SimHash
-keeps the smallest document of each group. The last returns what tokenisation
+drop documents, line de-duplication rewrites ``text`` (and ``n_chars``),
+near-de-duplication (SimHash, and verified shingles) keeps the smallest document
+of each group. The last returns what tokenisation
 made of every document that is left.
 
 Stages handle what their operators do: null texts are rejected as junk, null
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontamination, line_dedup, piece_codec, quality_classifier, simhash_dedup
+from ledgerline.llm import decontamination, line_dedup, piece_codec, quality_classifier, shingle_links, simhash_dedup
 from ledgerline.llm.common import cut, table
 from ledgerline.llm.queries import tokenizer_model
 
@@ -36,10 +37,16 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate group."""
+    """The document with the smallest id of every near-duplicate group: texts
+    with nearly equal fingerprints, or with 0.8 of their five-word shingles in
+    common (verified), and what these connect."""
     keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     groups = simhash_dedup.simhash_components(keyed, "_key")
-    least = groups.where(F.col("_key") == F.col("component_id")).select("_key").distinct()
+    near = groups.select(F.col("_key.h").alias("a"), F.col("component_id.h").alias("b")).where("a <> b").distinct()
+    roots = simhash_dedup.components(near.unionAll(shingle_links.similar_links(docs)))
+    rooted = keyed.select("_key").distinct().join(roots.select(F.col("node").alias("_h"), "root"), F.col("_key.h") == F.col("_h"), "left")
+    rooted = cut(rooted.select("_key", F.coalesce("root", "_key.h").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("_key").alias("_key")).select("_key")
     same = F.col("d._key").eqNullSafe(F.col("k._key"))
     kept = keyed.dropDuplicates(["_key"]).alias("d").join(least.alias("k"), same, "left_semi")
     return kept.select([F.col(f"d.{c}") for c in docs.columns])

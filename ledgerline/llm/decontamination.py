@@ -4,10 +4,14 @@ A text that holds a test item within k edits holds at least one of any k + 1
 pieces of the item unchanged. Items are split into k + 1 pieces; one automaton
 finds all exact piece hits of all items in a pass over a text; each hit names
 the place where the item would lie, and Myers' bit-parallel algorithm verifies
-the distance there. Every occurrence within the budget is found.
-
-The budget of an item is ``error_rate`` of its length, but no more than leaves
-pieces of ``piece_chars`` characters. Texts and items are compared in lower
+the distance there: first of the two pieces around the hit with one edit, then
+of ever larger runs of j pieces with j - 1 edits (one of two neighbouring runs
+must keep to that), so that few chance hits reach the whole item. Every
+occurrence within the budget is found.
+
+The budget of an item is ``error_rate`` of its length, whatever the length of
+the pieces (about 9 characters at a tenth); ``piece_chars`` above 1 is a guard
+that lowers the budget to leave pieces of so many characters. Texts and items are compared in lower
 case with white space collapsed.
 
 The items are broadcast in parts of at most ``part_bytes``; more items mean
@@ -42,6 +46,21 @@ def pieces_of(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def runs_around(n: int) -> list[list[tuple[int, int]]]:
+    """For each of ``n`` pieces the runs [a, b) of pieces that hold it, from two
+    pieces up to all but the whole: nodes of one binary tree over the pieces."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    todo = [(0, n)]
+    while todo:
+        a, b = todo.pop()
+        if b - a > 1:
+            if b - a < n:
+                for i in range(a, b):
+                    out[i].insert(0, (a, b))
+            todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+    return out
+
+
 def pattern_masks(item: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, ch in enumerate(item):
@@ -84,10 +103,18 @@ class Matcher:
             if t := normalise(t):
                 by_text.setdefault(t, []).append(i)
         self.items = [(t, ids, budget(len(t), error_rate, piece_chars)) for t, ids in sorted(by_text.items())]
-        where: dict[str, list[tuple[int, int]]] = {}
+        where: dict[str, list[tuple[int, int, tuple]]] = {}
         for n, (t, _, k) in enumerate(self.items):
-            for off, piece in pieces_of(t, k):
-                where.setdefault(piece, []).append((n, off))
+            pieces, at = pieces_of(t, k), []
+            ends = [off for off, _ in pieces] + [len(t)]
+            known: dict[tuple[int, int], tuple] = {}
+            for runs in runs_around(k + 1):
+                for a, b in runs:
+                    if (a, b) not in known:
+                        known[a, b] = (ends[a], ends[b], b - a - 1, t[ends[a] : ends[b]], pattern_masks(t[ends[a] : ends[b]]))
+                at.append(tuple(known[r] for r in runs))
+            for (off, piece), runs in zip(pieces, at):
+                where.setdefault(piece, []).append((n, off, runs))
         self.masks = [pattern_masks(t) for t, _, _ in self.items]
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
@@ -103,7 +130,7 @@ class Matcher:
         found: dict[int, tuple[int, int]] = {}
         tried: dict[int, int] = {}
         for end, (size, places) in self.automaton.iter(text):
-            for n, off in places:
+            for n, off, runs in places:
                 item, _, k = self.items[n]
                 start = end + 1 - size - off
                 if found.get(n, (1,))[0] == 0:
@@ -113,7 +140,15 @@ class Matcher:
                     continue
                 if k == 0 or tried.get(n) == start:
                     continue
-                tried[n] = start
+                for a, b, most, part, masks in runs:
+                    if text.startswith(part, start + a) if start + a >= 0 else False:
+                        continue
+                    if best_match(masks, b - a, text[max(0, start + a - most) : start + b + most])[0] > most:
+                        break
+                else:
+                    tried[n] = start
+                if tried.get(n) != start:
+                    continue
                 lo = max(0, start - k)
                 d, e = best_match(self.masks[n], len(item), text[lo : start + len(item) + k])
                 if d <= k and d < found.get(n, (k + 1,))[0]:
@@ -130,7 +165,7 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str, part_bytes: int):
         yield [(r.i, r.t) for r in (items if parts == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == p)).collect()]
 
 
-def find_items(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.1, piece_chars: int = 16, part_bytes: int = 16 << 20) -> DataFrame:
+def find_items(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.1, piece_chars: int = 1, part_bytes: int = 16 << 20) -> DataFrame:
     """The columns of ``df``, and ``_hits``: array<struct<item_id, distance, end>>
     with an entry for each item that occurs in the text (its nearest place)."""
     kind = benchmark.schema[item_id].dataType.simpleString()

@@ -77,3 +77,21 @@ def test_empty_tables(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert m.decontaminate(a.where("doc_id = 999"), b).collect() == []
     assert not any(r.contaminated for r in m.decontaminate(a, b.where("item_id = 999")).collect())
+
+
+def test_the_budget_is_the_whole_tenth(spark):
+    r = random.Random(12)
+    say = lambda n: "".join(r.choice("abcdef   ") for _ in range(n)).strip() + "z"
+    items = [(i, say(n)) for i, n in enumerate([9, 12, 25, 31, 40, 47, 60, 81, 106, 202, 348] * 2)]
+    docs = []
+    for i, it in items:
+        for share in (0.0, 0.06, 0.08, 0.1, 0.12):
+            docs.append((len(docs), say(60) + edited(r, it, int(len(it) * share)) + say(60)))
+    want, far = [], 0
+    for d, t in docs:
+        hits = [(i, x, n) for i, it in items if (x := semi_global(n := m.normalise(it), m.normalise(t))) <= len(n) // 10]
+        far += sum(x > len(n) // 16 - 1 for _, x, n in hits)
+        want.append((d, bool(hits), sorted(i for i, _, _ in hits), min((x for _, x, _ in hits), default=None)))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((tuple(x) for x in m.decontaminate(a, b).collect()), key=str) == sorted(want, key=str)
+    assert far > 20

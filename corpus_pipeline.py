@@ -30,7 +30,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines, however short, that another, earlier document has."""
-    out = line_dedup.line_dedup(docs, min_tokens=1).drop("_n_lines", "_n_dropped")
+    out = line_dedup.line_dedup(docs, min_tokens=1, several=True).drop("_n_lines", "_n_dropped")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -13,6 +13,11 @@ Two kinds of template recur:
   at least ``similarity`` of the positions after the leading tokens constant
   and equal.
 
+With ``several`` a leaf may hold several templates, however many other lines it
+has: the lines that share a token at a position are a group like the leaf, and
+each different group is generalised by itself. A line in several templates goes
+with the one that comes first.
+
 A recurring template stays where it comes first (the smallest document key)
 and its lines are dropped from all other documents; within a document nothing
 is dropped. Lines under ``min_tokens`` tokens are no templates and stay.
@@ -56,12 +61,26 @@ def _hashed(lines: DataFrame, min_tokens: int, depth: int) -> DataFrame:
     return own.withColumns({"h1": F.xxhash64("m"), "h2": F.xxhash64(F.lit(1), "m"), "leaf1": F.xxhash64("n", path), "leaf2": F.xxhash64(F.lit(1), "n", path)})
 
 
+def _grouped(rows: DataFrame, tail: Column, least: int) -> DataFrame:
+    """The lines of each leaf (grp 0), and again those of each group that shares
+    a token at a position, with the group's documents as leaf_docs. Groups of
+    the same lines are one: they are known by the sums of the lines' hashes."""
+    wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    at = ["leaf1", "leaf2", "pos", "token"]
+    spread = rows.select("leaf1", "leaf2", "h1", "h2", "docs", F.posexplode(tail).alias("pos", "token"))
+    pairs = spread.groupBy(*at).agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("kinds"), wide("h1").alias("s1"), wide("h2").alias("s2"))
+    pairs = pairs.where((F.col("kinds") > 1) & (F.col("leaf_docs") >= least)).select(*at, "leaf_docs", F.xxhash64("s1", "s2", "kinds").alias("grp"))
+    held = spread.join(pairs, at).select("leaf1", "leaf2", "h1", "h2", "leaf_docs", "grp").distinct()
+    more = rows.drop("leaf_docs").join(held, ["leaf1", "leaf2", "h1", "h2"])
+    return rows.withColumn("grp", F.lit(0).cast("long")).unionByName(more)
+
+
 #: Slots of the broadcast that keeps most lines out of the search for variants;
 #: its size is fixed, and what passes it wrongly meets the exact join.
 LEAF_SLOTS = 1 << 18
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_generalised: int = 3, depth: int = 4, min_tokens: int = 5, constant: float = 0.5, similarity: float = 0.6) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_generalised: int = 3, depth: int = 4, min_tokens: int = 5, constant: float = 0.5, similarity: float = 0.6, several: bool = False) -> DataFrame:
     """The columns of ``df`` with the text cleared of recurring lines, and
     _n_lines and _n_dropped (long)."""
     key = [F.col(f"`{id_col}`").alias("_k"), F.xxhash64(F.col(f"`{text_col}`")).alias("_t")]
@@ -81,13 +100,15 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     full = near.join(inner.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("m").alias("m"))
     rows = cut(inner.join(full, ["h1", "h2"]), "leaves")
     tail = F.slice(F.split("m", " "), depth + 1, F.col("n") - depth)
-    tokens = rows.select("leaf1", "leaf2", "leaf_docs", "docs", F.posexplode(tail).alias("pos", "token")).groupBy("leaf1", "leaf2", "leaf_docs", "pos", "token").agg(F.sum("docs").alias("hits"))
-    kept = tokens.where(F.col("hits") >= constant * F.col("leaf_docs")).groupBy("leaf1", "leaf2", "pos").agg(F.min(F.struct((-F.col("hits")).alias("least"), "token")).alias("best"))
-    form = kept.groupBy("leaf1", "leaf2").agg(F.map_from_entries(F.collect_list(F.struct("pos", "best.token"))).alias("form"))
+    rows = cut(_grouped(rows, tail, min_generalised), "groups") if several else rows.withColumn("grp", F.lit(0).cast("long"))
+    group = ["leaf1", "leaf2", "grp"]
+    tokens = rows.select("leaf1", "leaf2", "grp", "leaf_docs", "docs", F.posexplode(tail).alias("pos", "token")).groupBy("leaf1", "leaf2", "grp", "leaf_docs", "pos", "token").agg(F.sum("docs").alias("hits"))
+    kept = tokens.where(F.col("hits") >= constant * F.col("leaf_docs")).groupBy(*group, "pos").agg(F.min(F.struct((-F.col("hits")).alias("least"), "token")).alias("best"))
+    form = kept.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("pos", "best.token"))).alias("form"))
     alike = F.size(F.filter(F.transform(tail, lambda t, i: F.coalesce(F.element_at("form", i) == t, F.lit(False))), lambda b: b))
-    met = rows.join(form, ["leaf1", "leaf2"]).where(alike >= similarity * (F.col("n") - depth))
-    general = met.groupBy("leaf1", "leaf2").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_generalised)
-    general = met.select("h1", "h2", "leaf1", "leaf2").join(general, ["leaf1", "leaf2"]).select("h1", "h2", "first")
+    met = rows.join(form, group).where(alike >= similarity * (F.col("n") - depth))
+    general = met.groupBy(*group).agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_generalised)
+    general = met.select("h1", "h2", *group).join(general, group).select("h1", "h2", "first")
 
     recurring = masked.where(F.col("docs") >= min_docs).select("h1", "h2", "first").unionAll(general).groupBy("h1", "h2").agg(F.min("first").alias("first"))
     recurring = cut(recurring, "recurring")  # so that Spark may split the join for a hot line

@@ -74,3 +74,12 @@ def test_short_lines_go_too(spark):
     want = [(i, t) for i, t, _, _ in brute_lines(rows, min_tokens=1)]
     assert sorted(tuple(r) for r in out.collect()) == want
     assert dict(want) == {1: rows[0][1], 2: "two\n", 3: rows[2][1], 4: "\nfour"}
+
+
+def test_every_template_of_a_leaf_goes(spark):
+    w = [a + b for a in "bcdfghjklm" for b in "aeiou"]
+    forms = ["was closed by {} for the night", "may not open until {} says so", "will be sold to {} next year"]
+    say = lambda i: "the old shop here " + (forms[i % 3].format(w[i]) if i < 30 else " ".join(w[(i * k + k * k) % 50] for k in range(1, 7)))
+    rows = [(i, f"{w[i]} alone\n{say(i)}") for i in range(50)]
+    got = dict(tuple(r) for r in cp.without_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
+    assert got == {i: t if i < 3 or i >= 30 else f"{w[i]} alone" for i, t in rows}

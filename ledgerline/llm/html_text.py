@@ -11,7 +11,9 @@ container lies in an ``article`` element, the whole of that element is taken.
 
 Elements that never hold main text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) are left out first,
-by element name, role, class or id.
+by element name, role, class or id. A class or id drops no element that holds
+the page's articles, or most of its text if it has none, and says nothing in
+``no-``, ``has-``, ``with-`` and ``without-`` names.
 
 Defined results: null and empty html, and pages without text, give an empty
 string. Broken markup is read leniently: unknown end tags are ignored, open
@@ -40,10 +42,12 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag ends the open elements named here, up to the given limits.
 IMPLIED = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
+#: A start tag of any others ends an open head.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 DROPPED = frozenset("head script style noscript template nav header footer aside form button select textarea input iframe object embed svg canvas dialog menu title link meta".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|sidebar|aside|footer|header|masthead|toolbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|comments?|commentlist|replies|respond|disqus|pagination|pager|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|sidebar|aside|footer|header|masthead|toolbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|comments?|commentlist|replies|respond|disqus|pagination|pager|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.DOTALL)
@@ -51,10 +55,10 @@ _ATTRS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 
 
 class Node:
-    __slots__ = ("C", "LC", "LT", "T", "density", "drop", "kids", "name", "parent", "sum")
+    __slots__ = ("C", "LC", "LT", "T", "density", "drop", "kids", "name", "named", "parent", "sum")
 
     def __init__(self, name: str, parent: Node | None, drop: bool = False):
-        self.name, self.parent, self.drop = name, parent, drop
+        self.name, self.parent, self.drop, self.named = name, parent, drop, False
         self.kids: list[Node | str] = []
 
 
@@ -83,6 +87,11 @@ def parse(page: str) -> Node:
             if node.name == name and node.parent is not None:
                 now = node.parent
             continue
+        if name == "body" or now.name == "head" and name not in IN_HEAD:
+            node = now
+            while node.parent is not None and node.name != "head":
+                node = node.parent
+            now = node.parent or now
         if name in ENDS_P:
             node = now
             while node.parent is not None and (node.name in INLINE or node.name == "p"):
@@ -97,12 +106,16 @@ def parse(page: str) -> Node:
                 if node.name in ended:
                     now = node.parent
                 node = node.parent
-        drop = name in DROPPED
+        drop, named = name in DROPPED, False
         if not drop and m[3] and name not in ("body", "html", "article", "main"):
             for key, a, b, c in _ATTRS.findall(m[3]):
                 value = a or b or c
-                drop |= value.lower() in DROPPED_ROLES if key.lower() == "role" else bool(_DROPPED_NAMES.search(value))
-        kid = Node(name, now, drop)
+                if key.lower() == "role":
+                    drop |= value.lower() in DROPPED_ROLES
+                else:
+                    named |= bool(_DROPPED_NAMES.search(value))
+        kid = Node(name, now, drop or named)
+        kid.named = named and not drop
         now.kids.append(kid)
         if name in VOID or m[3].endswith("/"):
             continue
@@ -116,6 +129,41 @@ def parse(page: str) -> Node:
     return root
 
 
+def _keep_the_page(root: Node) -> None:
+    """Take back drops by class or id that would leave the page without its
+    articles or, if it has none, without most of its text."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [k for k in node.kids if not isinstance(k, str) and (not k.drop or k.named)]
+    if not any(n.named for n in order):
+        return
+    size, holds = {}, {}
+    for n in reversed(order):
+        below = [k for k in n.kids if not isinstance(k, str) and id(k) in size]
+        size[id(n)] = sum(len("".join(k.split())) for k in n.kids if isinstance(k, str)) + sum(size[id(k)] for k in below)
+        holds[id(n)] = n.name in ("article", "main") and size[id(n)] > 0 or any(holds[id(k)] for k in below)
+    while True:  # the outermost first; what is named inside is judged again
+        kept, named, todo = False, [], [root]
+        while todo:
+            node = todo.pop()
+            if node.named and node.drop:
+                named.append(node)
+                continue
+            kept |= node.name in ("article", "main") and size[id(node)] > 0
+            todo += [k for k in node.kids if not isinstance(k, str) and id(k) in size]
+        if kept or not named:
+            return
+        if holds[id(root)]:
+            back = max((n for n in named if holds[id(n)]), key=lambda n: size[id(n)])
+        else:
+            back = max(named, key=lambda n: size[id(n)])
+            if 2 * size[id(back)] <= size[id(root)]:
+                return
+        back.drop = False
+
+
 def _measure(root: Node) -> list[Node]:
     """Counts of every kept element, children before parents."""
     order, todo = [], [root]
@@ -186,6 +234,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _keep_the_page(root)
     order = _measure(root)
     body = next((n for n in reversed(order) if n.name == "body"), root)
     if not body.C:
@@ -223,7 +272,7 @@ def main_text(page: str | None) -> str:
             out += _blocks(x)
         elif id(x) in above:
             todo += reversed(x.kids)
-        elif x.name not in INLINE and x.C and x.density >= threshold and x.density > 0 and whole.name != "article":
+        elif x.name not in INLINE and x.C and x.density >= threshold and x.density > 0:
             out += _blocks(x)
     return "\n\n".join(out)
 

@@ -57,3 +57,15 @@ def test_whole_table_has_the_article_of_every_page(spark):
         parts = re.split("</?(?:p|h1)>", inner)
         want = [" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in parts]
         assert got[p.page_id] == "\n\n".join(x for x in want if x)
+
+
+def test_wrappers_open_heads_and_second_articles():
+    one, two = "word " * 60, "more " * 60
+    want = one.strip() + "\n\n" + two.strip()
+    for tag in ('div class="content no-sidebar"', 'div id=page class="has-sidebar"', 'section class="with_footer"', 'div class="page-header-wrap social"'):
+        assert main_text(f"<body><{tag}><article><p>{one}</p><p>{two}</p></article></{tag.split()[0]}></body>") == want, tag
+        assert main_text(f"<body><{tag}><p>{one}</p><p>{two}</p></{tag.split()[0]}><p>x</p></body>").startswith(want), tag
+    assert main_text(f"<html><head><title>t</title><body><p>{one}</p><p>{two}</p></body></html>") == want
+    assert main_text(f"<html><head><title>t</title><p>{one}</p><p>{two}</p></html>") == want
+    assert main_text(f"<body><article><p>{one}</p></article><article><p>{two}</p></article></body>") == want
+    assert main_text(f"<body><article><p>{one}</p></article><div class=comments><article><p>{two * 3}</p></article></div></body>") == one.strip()

@@ -9,7 +9,8 @@ of at least ``similarity``.
   0.99997; more alike texts with a higher one.
 * The texts of a bucket are compared with its smallest and its largest text, so
   candidates grow with the texts and never with the square of a bucket. Two
-  texts between these meet through them, or in another band.
+  texts between these may be missed where neither is like the ends, unless they
+  meet in another band.
 * Every candidate is verified on the two whole sets of shingles, so no link is
   wrong; how many are found is measured in the tests and the README.
 

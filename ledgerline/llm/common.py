@@ -6,13 +6,16 @@ Words everywhere in this subpackage are maximal runs of bytes outside
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and \t \n \v \f \r.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -30,26 +33,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests on one machine) a temporary
-    folder is made and named for the rest of the session.
+    Only where the session names none and all of Spark runs in one process
+    (tests) a temporary folder is made and named for the rest of the session;
+    on a cluster a missing setting is an error.
     """
     key = "spark.checkpoint.dir"
     place = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {key} to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set(key, place)
     return place.rstrip("/")
 
 
+#: Lists that note the tables written by cut(); innermost last.
+_noted: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and the rows survive the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _noted[-1:]:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def noting() -> Iterator[list[str]]:
+    """The paths that cut() writes inside the block."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        _noted.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def named(*columns: str) -> list[Column]:
+    """Columns by their whole names, whatever signs those hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or if a column has it, the first of ``name_``, ``name__``..."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,12 +41,19 @@ def edited(r, text, k):
     return "".join(t)
 
 
+def nearest(item, text, rate=0.1):
+    """Least edits; an item too short for one stands as whole words or not at all."""
+    if len(item) * rate < 1:
+        return 0 if re.search(rf"(?<![a-z0-9]){re.escape(item)}(?![a-z0-9])", text) else len(item)
+    return semi_global(item, text)
+
+
 def cases():
     r = random.Random(9)
     items = [(i, " ".join("".join(r.choice("abcdef") for _ in range(r.randrange(1, 8))) for _ in range(r.choice([4, 12, 30])))) for i in range(12)]
     items += [(100, None), (101, "  "), (102, items[0][1].upper()), (None, "a null id has this long text of its own")]
     docs = []
-    for i in range(36):
+    for i in range(72):
         t = " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(20))
         if i % 2:
             item = items[i % 12][1]
@@ -63,7 +72,7 @@ def test_against_brute_force(spark):
     norm = [(i, m.normalise(t)) for i, t in items if m.normalise(t)]
     for d, t in docs:
         t = m.normalise(t)
-        hits = [(i, x) for i, it in norm if (x := semi_global(it, t[-400:] if len(t) > 9999 else t)) <= m.budget(len(it), rate, piece)]
+        hits = [(i, x) for i, it in norm if (x := nearest(it, t[-400:] if len(t) > 9999 else t)) <= m.budget(len(it), rate, piece)]
         want.append((d, bool(hits), sorted(i for i, _ in hits if i is not None), min((x for _, x in hits), default=None)))
     for kw in ({}, {"part_bytes": 300}):
         got = [tuple(r) for r in m.decontaminate(a, b, error_rate=rate, piece_chars=piece, **kw).collect()]
@@ -89,9 +98,40 @@ def test_the_budget_is_the_whole_tenth(spark):
             docs.append((len(docs), say(60) + edited(r, it, int(len(it) * share)) + say(60)))
     want, far = [], 0
     for d, t in docs:
-        hits = [(i, x, n) for i, it in items if (x := semi_global(n := m.normalise(it), m.normalise(t))) <= len(n) // 10]
+        hits = [(i, x, n) for i, it in items if (x := nearest(n := m.normalise(it), m.normalise(t))) <= len(n) // 10]
         far += sum(x > len(n) // 16 - 1 for _, x, n in hits)
         want.append((d, bool(hits), sorted(i for i, _, _ in hits), min((x for _, x, _ in hits), default=None)))
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert sorted((tuple(x) for x in m.decontaminate(a, b).collect()), key=str) == sorted(want, key=str)
+    for kw in ({}, {"part_bytes": 500}):
+        assert sorted((tuple(x) for x in m.decontaminate(a, b, **kw).collect()), key=str) == sorted(want, key=str)
     assert far > 20
+
+
+def test_short_items_are_whole_words():
+    items = [(1, "the cat"), (2, "a"), (3, "北京"), (4, "x-1")]
+    find = lambda t: [n for n, _, _ in m.Matcher(items, 0.1, 1).find(m.normalise(t))]
+    name = [t for t, _, _ in m.Matcher(items, 0.1, 1).items]
+    assert [name[n] for n in find("bathe catalog")] == [] and [name[n] for n in find("See: The  cat!")] == ["the cat"]
+    assert [name[n] for n in find("在北京大学")] == ["北京"] and [name[n] for n in find("A x-1, x-12")] == ["a", "x-1"]
+    assert find("xx-1 x-1x alas") == []
+
+
+def test_items_with_one_opening():
+    r = random.Random(5)
+    say = lambda n: "".join(r.choice("abcdefghij   ") for _ in range(n))
+    items = [(i, "read the passage below and choose the right answer: " + say(r.choice([60, 80, 100, 120]))) for i in range(200)]
+    text = m.normalise(" ".join("read the passage below and choose the right answer: " + say(70) for _ in range(100)))
+    matcher = m.Matcher(items, 0.1, 1)
+    t0 = time.process_time()
+    got = matcher.find(text)
+    assert time.process_time() - t0 < 2.5
+    assert {n for n, _, _ in got} == {n for n, (t, _, k) in enumerate(matcher.items) if m.best_match(matcher.masks[n], len(t), text)[0] <= k}
+
+
+def test_columns_of_any_name(spark):
+    a = spark.createDataFrame([(1, "x the whole item of a test y", 2, 3, 4), (2, "clean", 5, 6, 7)], "doc_id long, text string, _hits int, _row int, `a.b` int")
+    b = spark.createDataFrame([(7, "the whole item of a test")], "item_id long, text string")
+    for kw in ({}, {"part_bytes": 20}):
+        out = m.find_items(a, b, hits_col="found", **kw)
+        assert out.columns == [*a.columns, "found"]
+        assert sorted((r[0], *r[2:5], len(r.found)) for r in out.collect()) == [(1, 2, 3, 4, 1), (2, 5, 6, 7, 0)]

@@ -13,24 +13,31 @@ Two kinds of template recur:
   at least ``similarity`` of the positions after the leading tokens constant
   and equal.
 
-With ``several`` a leaf may hold several templates, however many other lines it
-has: the lines that share a token at a position are a group like the leaf, and
-each different group is generalised by itself. A line in several templates goes
-with the one that comes first.
+A leaf may hold several templates, however many other lines it has: the lines
+that share a token at a position are a group like the leaf, and each different
+group is generalised by itself. Shares are of pairs of a line and a document;
+what ``min_docs`` and ``min_generalised`` count are distinct documents. A line in
+several templates goes with the one that comes first.
 
 A recurring template stays where it comes first (the smallest document key)
 and its lines are dropped from all other documents; within a document nothing
-is dropped. Lines under ``min_tokens`` tokens are no templates and stay.
+is dropped. Blank lines, and lines under ``min_tokens`` tokens (none by default),
+are no templates and stay.
 
 Scale: lines are parsed once and only 128-bit hashes and document keys of them
 move. Line texts move for leaves with several different lines in enough
-documents, each distinct line once. Texts move once, to meet the lines that go.
+documents, each distinct line once for a task; beyond some LEAF_SLOTS such leaves
+the broadcast no longer holds lines back, and the distinct lines of every leaf
+move. Texts move once, to meet the lines that go. What a join needs of a leaf, a
+group or a line is written first, so that Spark may split the other side where
+one of them is hot.
 
 Defined results: null text stays null, empty text stays empty, and a text whose
 lines all go becomes empty. Rows with the same id and text are one document.
 Null ids come first in the order of documents. Ties between tokens go to the
 smaller token. Extra columns are kept, whatever their names. Lines end at \\n
-only. An empty table gives an empty table.
+only. An empty table gives an empty table. A text is split in one task, whose
+memory holds a few copies of it; a line of n tokens is in n groups at most.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, named
 
 
 def _masked(line: Column) -> Column:
@@ -63,15 +70,15 @@ def _hashed(lines: DataFrame, min_tokens: int, depth: int) -> DataFrame:
 
 def _grouped(rows: DataFrame, tail: Column, least: int) -> DataFrame:
     """The lines of each leaf (grp 0), and again those of each group that shares
-    a token at a position, with the group's documents as leaf_docs. Groups of
+    a token at a position, with the group's pairs of line and document. Groups of
     the same lines are one: they are known by the sums of the lines' hashes."""
     wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
     at = ["leaf1", "leaf2", "pos", "token"]
     spread = rows.select("leaf1", "leaf2", "h1", "h2", "docs", F.posexplode(tail).alias("pos", "token"))
-    pairs = spread.groupBy(*at).agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("kinds"), wide("h1").alias("s1"), wide("h2").alias("s2"))
-    pairs = pairs.where((F.col("kinds") > 1) & (F.col("leaf_docs") >= least)).select(*at, "leaf_docs", F.xxhash64("s1", "s2", "kinds").alias("grp"))
-    held = spread.join(pairs, at).select("leaf1", "leaf2", "h1", "h2", "leaf_docs", "grp").distinct()
-    more = rows.drop("leaf_docs").join(held, ["leaf1", "leaf2", "h1", "h2"])
+    shared = spread.groupBy(*at).agg(F.sum("docs").alias("pairs"), F.count("*").alias("kinds"), wide("h1").alias("s1"), wide("h2").alias("s2"))
+    shared = shared.where((F.col("kinds") > 1) & (F.col("pairs") >= least)).select(*at, "pairs", F.xxhash64("s1", "s2", "kinds").alias("grp"))
+    held = spread.join(cut(shared, "shared"), at).select("leaf1", "leaf2", "h1", "h2", "pairs", "grp").distinct()
+    more = rows.drop("pairs").join(held, ["leaf1", "leaf2", "h1", "h2"])
     return rows.withColumn("grp", F.lit(0).cast("long")).unionByName(more)
 
 
@@ -80,35 +87,42 @@ def _grouped(rows: DataFrame, tail: Column, least: int) -> DataFrame:
 LEAF_SLOTS = 1 << 18
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_generalised: int = 3, depth: int = 4, min_tokens: int = 5, constant: float = 0.5, similarity: float = 0.6, several: bool = False) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_generalised: int = 3, depth: int = 4, min_tokens: int = 1, constant: float = 0.5, similarity: float = 0.6, counts: tuple[str, str] = ("_n_lines", "_n_dropped")) -> DataFrame:
     """The columns of ``df`` with the text cleared of recurring lines, and
-    _n_lines and _n_dropped (long)."""
-    key = [F.col(f"`{id_col}`").alias("_k"), F.xxhash64(F.col(f"`{text_col}`")).alias("_t")]
+    the numbers of its lines and of those dropped (long), named by ``counts``."""
+    id_, text = named(id_col, text_col)
+    key = [id_.alias("_k"), F.xxhash64(text).alias("_t")]
     doc = F.struct("_k", "_t").alias("doc")
-    texts = df.where(F.col(f"`{text_col}`").isNotNull()).select(*key, F.split(F.col(f"`{text_col}`"), "\n").alias("l"))
+    texts = df.where(text.isNotNull()).select(*key, F.split(text, "\n").alias("l"))
     parsed = lambda ms: F.transform(ms, lambda m: F.struct(m.alias("m"), _tokens(m).alias("n")))
-    lines = _hashed(texts.select(doc, F.posexplode(parsed(F.transform("l", _masked))).alias("p", "x")), min_tokens, depth)
+    lines = _hashed(texts.select(doc, F.posexplode(parsed(F.transform("l", _masked))).alias("p", "x")), max(1, min_tokens), depth)
     slim = cut(lines.drop("m"), "lines")
     once = slim.groupBy("h1", "h2", "leaf1", "leaf2", "n", "doc").agg(F.lit(1).alias("one"))  # a document's lines are in one task
     masked = cut(once.groupBy("h1", "h2", "leaf1", "leaf2", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("first")), "templates")
 
     # leaves in which different lines meet, with positions beyond the leading tokens
-    mixed = cut(masked.where(F.col("n") > depth).groupBy("leaf1", "leaf2").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("leaf_docs") >= min_generalised)).drop("kinds"), "mixed")
-    inner = masked.join(mixed, ["leaf1", "leaf2"])
+    mixed = cut(masked.where(F.col("n") > depth).groupBy("leaf1", "leaf2").agg(F.sum("docs").alias("pairs"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("pairs") >= min_generalised)).drop("kinds"), "mixed")
+    inner = cut(masked.join(mixed, ["leaf1", "leaf2"]), "inner")
     slot = F.pmod(F.col("leaf1"), F.lit(LEAF_SLOTS)).alias("slot")
-    near = lines.select("h1", "h2", "m", slot).join(F.broadcast(mixed.select(slot).distinct()), "slot", "left_semi")
-    full = near.join(inner.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("m").alias("m"))
-    rows = cut(inner.join(full, ["h1", "h2"]), "leaves")
+    some = F.broadcast(mixed.select(slot).distinct())
+    near = lines.select("h1", "h2", "m", slot).join(some, "slot", "left_semi").groupBy("h1", "h2").agg(F.min("m").alias("m"))
+    rows = cut(inner.join(near, ["h1", "h2"]), "leaves")
     tail = F.slice(F.split("m", " "), depth + 1, F.col("n") - depth)
-    rows = cut(_grouped(rows, tail, min_generalised), "groups") if several else rows.withColumn("grp", F.lit(0).cast("long"))
+    rows = cut(_grouped(rows, tail, min_generalised), "groups")
     group = ["leaf1", "leaf2", "grp"]
-    tokens = rows.select("leaf1", "leaf2", "grp", "leaf_docs", "docs", F.posexplode(tail).alias("pos", "token")).groupBy("leaf1", "leaf2", "grp", "leaf_docs", "pos", "token").agg(F.sum("docs").alias("hits"))
-    kept = tokens.where(F.col("hits") >= constant * F.col("leaf_docs")).groupBy(*group, "pos").agg(F.min(F.struct((-F.col("hits")).alias("least"), "token")).alias("best"))
-    form = kept.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("pos", "best.token"))).alias("form"))
+    tokens = rows.select(*group, "pairs", "docs", F.posexplode(tail).alias("pos", "token")).groupBy(*group, "pairs", "pos", "token").agg(F.sum("docs").alias("hits"))
+    kept = tokens.where(F.col("hits") >= constant * F.col("pairs")).groupBy(*group, "pos").agg(F.min(F.struct((-F.col("hits")).alias("least"), "token")).alias("best"))
+    form = cut(kept.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("pos", "best.token"))).alias("form")), "forms")
     alike = F.size(F.filter(F.transform(tail, lambda t, i: F.coalesce(F.element_at("form", i) == t, F.lit(False))), lambda b: b))
-    met = rows.join(form, group).where(alike >= similarity * (F.col("n") - depth))
-    general = met.groupBy(*group).agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_generalised)
-    general = met.select("h1", "h2", *group).join(general, group).select("h1", "h2", "first")
+    met = cut(rows.join(form, group).where(alike >= similarity * (F.col("n") - depth)).select("h1", "h2", *group, "docs", "first"), "met")
+    heads = cut(met.groupBy(*group).agg(F.max("docs").alias("most"), F.min("first").alias("first")), "heads")
+    # a line in enough documents settles its group; the lines of other groups are in few, which are counted
+    open_ = met.join(heads.where(F.col("most") < min_generalised).select(*group), group, "left_semi").select("h1", "h2", *group)
+    owners = slim.select("h1", "h2", "doc", slot).join(some, "slot", "left_semi").select("h1", "h2", "doc")
+    counted = owners.join(masked.where(F.col("docs") < min_generalised).select("h1", "h2"), ["h1", "h2"], "left_semi").join(open_, ["h1", "h2"])
+    enough = counted.select(*group, "doc").distinct().groupBy(*group).count().where(F.col("count") >= min_generalised).select(*group)
+    general = cut(heads.join(heads.where(F.col("most") >= min_generalised).select(*group).unionAll(enough), group).select(*group, F.col("first").alias("lead")), "general")
+    general = met.join(general, group).select("h1", "h2", F.col("lead").alias("first"))
 
     recurring = masked.where(F.col("docs") >= min_docs).select("h1", "h2", "first").unionAll(general).groupBy("h1", "h2").agg(F.min("first").alias("first"))
     recurring = cut(recurring, "recurring")  # so that Spark may split the join for a hot line
@@ -116,11 +130,11 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     marks = gone.groupBy("doc").agg(F.collect_set("p").alias("_gone"))
 
     # lines travel as an array, so that the lambda below reads a stored column
-    rest = [c for c in df.columns if c != text_col]
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest"), F.split(F.col(f"`{text_col}`"), "\n").alias("_l"), F.struct(*key).alias("_doc"))
+    rest = [(i, c) for i, c in enumerate(df.columns) if c != text_col]
+    keyed = df.select(F.struct(*key).alias("_doc"), F.split(text, "\n").alias("_l"), *[named(c)[0].alias(f"_c{i}") for i, c in rest])
     out = keyed.join(marks, keyed["_doc"].eqNullSafe(marks["doc"]), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), "_gone")
     left = F.when(F.col("_gone").isNull(), F.col("_l")).otherwise(F.transform(stay, lambda i: F.get("_l", i)))
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
-    out = out.select("_rest", F.array_join(left, "\n").alias("_text"), size("_l").alias("_lines"), size("_gone").alias("_cut"))
-    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in df.columns], F.col("_lines").alias("_n_lines"), F.col("_cut").alias("_n_dropped"))
+    cols = [F.array_join(left, "\n").alias(c) if c == text_col else F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)]
+    return out.select(*cols, size("_l").alias(counts[0]), size("_gone").alias(counts[1]))

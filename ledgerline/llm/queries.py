@@ -103,33 +103,42 @@ WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) - 1 AS p, unnest(l) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
 ), parsed AS (
-  SELECT doc_id, p, regexp_replace(trim(regexp_replace(line, '[ 	]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM lines
+  SELECT doc_id, p, regexp_replace(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM lines
 ), counted AS (
   SELECT *, string_split(m, ' ') AS t, len(string_split(m, ' ')) AS n, array_to_string(string_split(m, ' ')[1:4], ' ') AS path
-  FROM parsed WHERE m <> '' AND len(string_split(m, ' ')) >= 5
+  FROM parsed WHERE m <> ''
 ), masked AS (
   SELECT m, t, n, path, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM counted GROUP BY ALL
 ), mixed AS (
-  SELECT n, path, sum(docs) AS leaf_docs FROM masked GROUP BY n, path HAVING count(*) > 1 AND sum(docs) >= 3
+  SELECT n, path FROM masked WHERE n > 4 GROUP BY n, path HAVING count(*) > 1 AND sum(docs) >= 3
 ), rows_in AS (
-  SELECT a.*, leaf_docs FROM masked a JOIN mixed b ON a.n = b.n AND a.path = b.path
+  SELECT a.* FROM masked a JOIN mixed b ON a.n = b.n AND a.path = b.path
 ), tokens AS (
-  SELECT n, path, leaf_docs, docs, generate_subscripts(t[5:], 1) - 1 AS pos, unnest(t[5:]) AS token FROM rows_in
-), hits AS (
-  SELECT n, path, leaf_docs, pos, token, sum(docs) AS hits FROM tokens GROUP BY ALL
+  SELECT n, path, m, docs, first, generate_subscripts(t[5:], 1) - 1 AS pos, unnest(t[5:]) AS token FROM rows_in
+), members AS (
+  SELECT n, path, -1 AS gpos, '' AS gtoken, m, docs, first FROM rows_in
+  UNION ALL
+  SELECT t.n, t.path, t.pos, t.token, t.m, t.docs, t.first FROM tokens t
+), grouped AS (
+  SELECT *, sum(docs) OVER g AS pairs, count(*) OVER g AS kinds FROM members WINDOW g AS (PARTITION BY n, path, gpos, gtoken)
+), sized AS (
+  SELECT * FROM grouped WHERE kinds > 1 AND pairs >= 3
+), spread AS (
+  SELECT s.n, s.path, s.gpos, s.gtoken, s.pairs, s.m, s.docs, s.first, t.pos, t.token FROM sized s JOIN tokens t ON s.m = t.m
 ), form AS (
-  SELECT n, path, pos, token FROM hits WHERE hits >= 0.5 * leaf_docs
-  QUALIFY row_number() OVER (PARTITION BY n, path, pos ORDER BY hits DESC, token) = 1
+  SELECT n, path, gpos, gtoken, pos, token FROM spread GROUP BY n, path, gpos, gtoken, pairs, pos, token HAVING sum(docs) >= 0.5 * pairs
+  QUALIFY row_number() OVER (PARTITION BY n, path, gpos, gtoken, pos ORDER BY sum(docs) DESC, token) = 1
 ), alike AS (
-  SELECT r.m, r.n, r.path, r.docs, r.first
-  FROM (SELECT m, n, path, docs, first, generate_subscripts(t[5:], 1) - 1 AS pos, unnest(t[5:]) AS token FROM rows_in) r
-  JOIN form f ON r.n = f.n AND r.path = f.path AND r.pos = f.pos AND r.token = f.token
-  GROUP BY ALL HAVING count(*) >= 0.6 * (r.n - 4)
+  SELECT s.n, s.path, s.gpos, s.gtoken, s.m, s.first
+  FROM spread s JOIN form f ON s.n = f.n AND s.path = f.path AND s.gpos = f.gpos AND s.gtoken = f.gtoken AND s.pos = f.pos AND s.token = f.token
+  GROUP BY ALL HAVING count(*) >= 0.6 * (s.n - 4)
 ), general AS (
-  SELECT m, min(first) OVER (PARTITION BY n, path) AS first, sum(docs) OVER (PARTITION BY n, path) AS docs FROM alike
+  SELECT a.n, a.path, a.gpos, a.gtoken, min(a.first) AS first FROM alike a JOIN counted c ON a.m = c.m GROUP BY ALL HAVING count(DISTINCT c.doc_id) >= 3
 ), recurring AS (
   SELECT m, min(first) AS first FROM (
-    SELECT m, first FROM masked WHERE docs >= 2 UNION ALL SELECT m, first FROM general WHERE docs >= 3) GROUP BY m
+    SELECT m, first FROM masked WHERE docs >= 2
+    UNION ALL
+    SELECT a.m, g.first FROM alike a JOIN general g ON a.n = g.n AND a.path = g.path AND a.gpos = g.gpos AND a.gtoken = g.gtoken) GROUP BY m
 ), gone AS (
   SELECT DISTINCT c.doc_id, c.p FROM counted c JOIN recurring r ON c.m = r.m AND c.doc_id > r.first
 ), kept AS (

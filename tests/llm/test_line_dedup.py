@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -6,42 +7,48 @@ from pyspark.sql import functions as F
 from ledgerline.llm.line_dedup import line_dedup
 
 
-def brute(rows, depth=4, min_tokens=5):
+def brute(rows, depth=4, min_tokens=1):
     """Plain Python version over rows (id, text) with distinct ids, null first."""
-    parsed, docs, first = {}, defaultdict(set), {}
+    parsed, docs = {}, defaultdict(set)
     order = lambda d: (d is not None, d or 0)
     for d, text in rows:
         for p, line in enumerate((text or "").split("\n") if text is not None else []):
             t = ["<*>" if re.search("[0-9]", w) else w for w in re.split(r"[ \t\x0b\f\r]+", line.strip(" \t\x0b\f\r")) if w]
-            if len(t) >= min_tokens:
+            if len(t) >= max(1, min_tokens):
                 m = " ".join(t)
                 parsed[d, p] = m
                 docs[m].add(d)
-    least = {m: min(s, key=order) for m, s in docs.items()}
-    leaves = defaultdict(list)
+    firsts = defaultdict(list)
+    groups = defaultdict(list)
     for m in docs:
         t = m.split(" ")
         if len(t) > depth:
-            leaves[len(t), tuple(t[:depth])].append(m)
-    for (n, _), ms in leaves.items():
-        total = sum(len(docs[m]) for m in ms)
-        if len(ms) < 2 or total < 3:
+            leaf = len(t), tuple(t[:depth])
+            groups[leaf].append(m)
+            for i in range(depth, len(t)):
+                groups[leaf, i, t[i]].append(m)
+    for ms in groups.values():
+        pairs = sum(len(docs[m]) for m in ms)
+        if len(ms) < 2 or pairs < 3:
             continue
+        n = ms[0].count(" ") + 1
         form = {}
         for i in range(depth, n):
             c = Counter()
             for m in ms:
                 c[m.split(" ")[i]] += len(docs[m])
             tok, hits = min(c.items(), key=lambda x: (-x[1], x[0]))
-            if hits >= 0.5 * total:
+            if hits >= 0.5 * pairs:
                 form[i] = tok
         met = [m for m in ms if form and sum(form.get(i) == w for i, w in enumerate(m.split(" "))) >= 0.6 * (n - depth)]
-        if sum(len(docs[m]) for m in met) >= 3:
-            lead = min((least[m] for m in met), key=order)
-            first.update({m: lead for m in met})
+        owners = set().union(*(docs[m] for m in met))
+        if len(owners) >= 3:
+            for m in met:
+                firsts[m].append(min(owners, key=order))
     for m, s in docs.items():
         if len(s) >= 2:
-            first[m] = min(first.get(m, least[m]), least[m], key=order)
+            firsts[m].append(min(s, key=order))
+    first = {m: min(x, key=order) for m, x in firsts.items()}
     out = []
     for d, text in rows:
         ls = text.split("\n") if text is not None else []
@@ -74,3 +81,31 @@ def test_no_python_in_the_plan(spark):
     plan = line_dedup(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert line_dedup(df).where(F.col("_n_dropped") > 0).count()
+
+
+def test_short_lines_and_distinct_documents(spark):
+    rows = [(i, f"All rights reserved.\nRead more here\n{'abcdefghij'[i]} own") for i in range(10)]
+    rows += [(20, "we sold the old red house to him\nwe sold the old blue house to him"), (21, "we sold the old green house to him")]
+    rows += [(30, "they took the old red house from him\nthey took the old blue house from him"), (31, "they took the old green house from him"), (32, "they took the old tall house from him")]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert got == brute(rows)
+    dropped = {r[0]: r[3] for r in got}
+    assert [dropped[i] for i in range(10)] == [0] + [2] * 9
+    assert dropped[20] == dropped[21] == 0  # a template of two documents, whatever its variants
+    assert [dropped[i] for i in (30, 31, 32)] == [0, 1, 1]
+
+
+def test_random_leaves_against_brute_force(spark):
+    r = random.Random(8)
+    say = lambda: "a b c d " + " ".join(r.choice("pqrst") for _ in range(r.choice([1, 3, 5])))
+    rows = [(i, "\n".join(say() for _ in range(r.randrange(4)))) for i in range(60)]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(x) for x in out.collect()), key=str) == brute(rows)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "x y", 1, 2, 3), (2, "x y", 4, 5, 6)], "doc_id long, text string, _n_lines int, doc int, `a.b` int")
+    out = line_dedup(df, counts=("l", "d"))
+    assert out.columns == [*df.columns, "l", "d"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "x y", 1, 2, 3, 1, 0), (2, "", 4, 5, 6, 1, 1)]

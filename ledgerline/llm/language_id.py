@@ -12,12 +12,16 @@ of each language, those with the smallest hashes of their ids (a documented,
 bounded sample; whole texts of those rows). N-grams are counted in parallel and
 only ``profile_size`` for each language reach the driver.
 
+An n-gram is a number of 63 bits: three places for code points in lower case, an
+absent one 0 and the mark 2^21 - 1. No two n-grams share a number.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0.
 Ties between languages go to the first in name order; ties between n-grams to
 the smaller code. The score is 1 minus the winner's distance as a share of the
 largest possible distance. With no labelled rows every text is ``und``. Null
-ids and repeated rows are predicted like others, extra columns are ignored, an
-empty table gives an empty table.
+ids and repeated rows are predicted like others, extra columns are ignored
+whatever their names, an empty table gives an empty table. A text is counted
+whole in one task, in memory of some hundred times its length.
 """
 
 from __future__ import annotations
@@ -34,22 +38,23 @@ UNKNOWN = "und"
 #: Labels that aren't a small set are an error, not a larger broadcast.
 MAX_LANGUAGES = 10_000
 _LIMIT = 1 << 16
+#: The mark at the bounds of words: no code point.
+MARK = (1 << 21) - 1
 _symbols: np.ndarray | None = None
 
 
 def _symbol_table() -> np.ndarray:
-    """Symbol (below 1024) of each code point: 0 for what isn't a letter, equal
-    for upper and lower case."""
+    """Symbol of each code point: MARK for what isn't a letter, else the code
+    point of its lower case."""
     global _symbols
     if _symbols is None:
         import sys
 
-        t = np.zeros(sys.maxunicode + 1, np.uint32)
+        t = np.full(sys.maxunicode + 1, MARK, np.uint32)
         for cp in range(sys.maxunicode + 1):
             ch = chr(cp)
             if ch.isalpha():
-                low = ord(ch.lower()[0])
-                t[cp] = 1 + low % 1023 if low < 1023 else 1 + (low * 2654435761 >> 7) % 1023
+                t[cp] = ord(ch.lower()[0])
         _symbols = t
     return _symbols
 
@@ -59,33 +64,31 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     owner = np.repeat(np.arange(len(texts)), lengths)[: len(joined)]
-    s = _symbol_table()[joined]
-    s = np.concatenate(([0], s, [0])).astype(np.uint32)
+    s = np.concatenate(([MARK], _symbol_table()[joined], [MARK])).astype(np.int64)
     owner = np.concatenate(([0], owner, owner[-1:] if len(owner) else [0]))
-    keep = np.concatenate(([True], (s[1:] > 0) | (s[:-1] > 0)))  # one mark for each gap
+    keep = np.concatenate(([True], (s[1:] != MARK) | (s[:-1] != MARK)))  # one mark for each gap
     s, owner = s[keep], owner[keep]
-    one = s > 0
-    two = (s[1:] > 0) | (s[:-1] > 0)
-    three = s[1:-1] > 0
-    first = owner[1:]
-    first = np.where(s[:-1] > 0, owner[:-1], first)
-    out_o = np.concatenate((owner[one], first[two], owner[1:-1][three]))
-    out_c = np.concatenate((s[one], ((s[:-1] << np.uint32(10)) | s[1:])[two] | np.uint32(1 << 30), ((s[:-2] << np.uint32(20)) | (s[1:-1] << np.uint32(10)) | s[2:])[three] | np.uint32(1 << 31)))
+    letter = s != MARK
+    two = letter[1:] | letter[:-1]
+    three = letter[1:-1]
+    first = np.where(letter[:-1], owner[:-1], owner[1:])
+    out_o = np.concatenate((owner[letter], first[two], owner[1:-1][three]))
+    out_c = np.concatenate((s[letter], (s[:-1] << 21 | s[1:])[two], (s[:-2] << 42 | s[1:-1] << 21 | s[2:])[three]))
     return out_o, out_c
 
 
 def ranked(texts: list[str], size: int) -> list[np.ndarray]:
     """The codes of each text's most frequent n-grams, the first ``size``."""
     owner, code = grams(texts)
-    key = np.sort((owner.astype(np.uint64) << np.uint64(32)) | code)
-    if not len(key):
-        return [np.empty(0, np.uint32)] * len(texts)
+    if not len(code):
+        return [np.empty(0, np.int64)] * len(texts)
+    known, place = np.unique(code, return_inverse=True)
+    key = np.sort(owner * len(known) + place)
     new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     count = np.diff(np.append(new, len(key)))
-    key = key[new]
-    owner, code = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    order = np.lexsort((code, -count, owner))
-    code = code[order]
+    owner, place = np.divmod(key[new], len(known))
+    order = np.lexsort((place, -count, owner))
+    code = known[place[order]]
     ends = np.searchsorted(owner, np.arange(len(texts) + 1))
     return [code[a : min(b, a + size)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
@@ -111,7 +114,7 @@ def learn(labelled: DataFrame, size: int = 400, sample_per_language: int = 2000)
                 own = [t for x, t in zip(langs, texts) if x == lang]
                 for lo, hi in text_runs(own, _LIMIT):
                     code, n = np.unique(grams(own[lo:hi])[1], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     counts = few.select("_lang", "_text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("code")))
@@ -119,7 +122,7 @@ def learn(labelled: DataFrame, size: int = 400, sample_per_language: int = 2000)
     out: dict[str, list] = {}
     for r in sorted(top, key=lambda r: (r.lang, r.place)):
         out.setdefault(r.lang, []).append(r.code)
-    return {k: np.array(v, np.uint32) for k, v in out.items()}
+    return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
 class Profiles:
@@ -127,7 +130,7 @@ class Profiles:
 
     def __init__(self, profiles: dict[str, np.ndarray], size: int):
         self.names, self.size = sorted(profiles), size
-        self.codes = np.unique(np.concatenate([profiles[k] for k in self.names])) if self.names else np.zeros(0, np.uint32)
+        self.codes = np.unique(np.concatenate([profiles[k] for k in self.names])) if self.names else np.zeros(0, np.int64)
         self.places = np.full((len(self.codes) + 1, len(self.names)), -1, np.int64)  # last: in no profile
         for j, k in enumerate(self.names):
             self.places[np.searchsorted(self.codes, profiles[k]), j] = np.arange(len(profiles[k]))

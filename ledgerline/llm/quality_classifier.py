@@ -15,9 +15,9 @@ text goes by its faults and a long one by the scorer.
 
 Statistics count tokens: words between white space, and in scripts that put no
 blanks between words every character. Upper case, punctuation and letters are
-Unicode's. A labeller can't tell, which weighs nothing, where a token more or
-less would change its vote, so it needs more evidence on a shorter text, without
-a least length. ``function_words`` judges texts mostly in Latin letters, for the
+Unicode's. A labeller can't tell, which weighs nothing, where some stray tokens
+would change its vote, so it needs more evidence on a shorter text, without a
+least length. ``function_words`` judges texts mostly in Latin letters, for the
 languages it lists, and can't tell of others.
 
 Defined results: null and blank texts get score 0 and are rejected. Texts on
@@ -70,8 +70,8 @@ LABELLERS = (
 )
 #: The answer of a labeller that can't judge a text; it weighs nothing.
 UNTOLD = 3
-#: Tokens whose lack is no fault yet.
-FEW_TOKENS = 8
+#: Tokens whose lack is no fault yet, and tokens that may be there by chance.
+FEW_TOKENS, STRAY_TOKENS = 24, 2
 #: Tokens that the posterior of a text's votes stands for in its score.
 EXTRA_TOKENS = 8
 STATISTICS = tuple(s for _, s, *_ in LABELLERS)
@@ -208,17 +208,17 @@ def _vote(x: np.ndarray, limits: tuple, one) -> np.ndarray:
     below, above, lo, hi = limits
     out = np.zeros(len(x), np.int8)
     if lo is not None:
-        out[(x - one >= lo) & (x <= hi)] = 2
+        out[(x - STRAY_TOKENS * one >= lo) & (x <= hi)] = 2
     if below is not None:
         out[x < below * (1 - FEW_TOKENS * one)] = 1
     if above is not None:
-        out[x - one > above] = 1
+        out[x - STRAY_TOKENS * one > above] = 1
     return out
 
 
 def votes(n_tokens: np.ndarray, stats: np.ndarray) -> np.ndarray:
     """1 for bad, 2 for good, 0 for neither and UNTOLD of each labeller on each
-    text. It can't tell where a token more or less would change its vote."""
+    text. It can't tell where some stray tokens would change its vote."""
     out = np.full(stats.shape, UNTOLD, np.int8)
     for j, (_, _, *limits) in enumerate(LABELLERS):
         x = stats[:, j]

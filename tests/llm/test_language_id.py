@@ -11,25 +11,22 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain_ranked(text, size):
-    """Places of n-grams by dictionary, as codes."""
-    s, last = [], 0
-    for ch in text:
-        x = int(m._symbol_table()[ord(ch)])
-        if x or last:
-            s.append(x)
-        last = x
-    s = [0] + s if not s or s[0] else s
-    if s[-1]:
-        s.append(0)
+    """The most frequent n-grams as strings, words in blanks, by dictionary."""
+    spaced = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
     c = Counter()
-    for i, x in enumerate(s):
-        if x:
-            c[x] += 1
-        if i + 1 < len(s) and (x or s[i + 1]):
-            c[(x << 10 | s[i + 1]) | 1 << 30] += 1
-        if i + 2 < len(s) and s[i + 1]:
-            c[(x << 20 | s[i + 1] << 10 | s[i + 2]) | 1 << 31] += 1
-    return [k for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))][:size]
+    words = spaced.split()
+    for i, w in enumerate(words):
+        c.update(w)
+        bounded = f" {w} "
+        c.update(bounded[j : j + 2] for j in range(len(bounded) - 1))
+        c.update(bounded[j : j + 3] for j in range(len(bounded) - 2))
+    point = lambda g: [0] * (3 - len(g)) + [2**21 - 1 if x == " " else ord(x) for x in g]
+    return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], point(x[0])))][:size]
+
+
+def spelt(code):
+    places = [code >> 42 & 2**21 - 1, code >> 21 & 2**21 - 1, code & 2**21 - 1]
+    return "".join(" " if x == 2**21 - 1 else chr(x) for x in places if x)
 
 
 def test_ranking_against_dictionaries():
@@ -37,19 +34,33 @@ def test_ranking_against_dictionaries():
     texts = ["".join(r.choice("abcé  \n1日Z") for _ in range(r.randrange(0, 80))) for _ in range(200)] + ["", " ", "a", "A", "1", "a" * 5000]
     got = m.ranked(texts, 50)
     for t, g in zip(texts, got):
-        assert g.tolist() == (plain_ranked(t, 50) if any(ch.isalpha() for ch in t) else [])
+        assert [spelt(x) for x in g.tolist()] == plain_ranked(t, 50)
 
 
-def test_distance_against_definition():
-    p = {"x": [5, 6, 7], "y": [6, 9]}
-    import numpy as np
+def test_no_two_letters_are_one():
+    for a, b in ("eр", "qя", "ñф", "人入", "م日"):
+        assert len(set(m.ranked([a], 9)[0]) & set(m.ranked([b], 9)[0])) == 0
+    letters = [chr(c) for c in range(0x4E00, 0x9FFF) if chr(c).isalpha()]
+    assert len(m.ranked([" ".join(letters)], 1 << 20)[0]) == 4 * len(letters)
+
 
-    model = m.Profiles({k: np.array(v, np.uint32) for k, v in p.items()}, 4)
-    for text in ("ab", "bcd a", "zz"):
-        own = plain_ranked(text, 4)
-        d = {k: sum(min(abs(v.index(c) - i), 4) if c in v else 4 for i, c in enumerate(own)) for k, v in p.items()}
+def test_distance_against_definition():
+    r = random.Random(6)
+    say = lambda: "".join(r.choice("abcd рст 日") for _ in range(30))
+    own = {k: say() for k in "xyz"}
+    model = m.Profiles({k: m.ranked([t], 20)[0] for k, t in own.items()}, 20)
+    for text in [say() for _ in range(60)] + ["ab", "zz"]:
+        g = plain_ranked(text, 20)
+        d = {k: sum(min(abs(p.index(c) - i), 20) if c in p else 20 for i, c in enumerate(g)) for k, p in ((k, plain_ranked(t, 20)) for k, t in own.items())}
         best = min(d, key=lambda k: (d[k], k))
-        assert model.predict([text]) == ([best], [1 - d[best] / (4 * len(own))])
+        assert model.predict([text]) == (([best], [1 - d[best] / (20 * len(g))]) if g else (["und"], [0.0]))
+
+
+def test_learned_profiles_against_dictionaries(spark):
+    rows = [(1, "ein Haus und ein Hund", "de"), (2, "der Hund ist alt", "de"), (3, "дом и собака", "ru"), (4, None, "ru"), (5, "x", None)]
+    df = spark.createDataFrame(rows, "_key long, _text string, _lang string")
+    got = m.learn(df, 30, 10)
+    assert {k: [spelt(x) for x in v.tolist()] for k, v in got.items()} == {"de": plain_ranked("ein Haus und ein Hund der Hund ist alt", 30), "ru": plain_ranked("дом и собака", 30)}
 
 
 def test_held_out_accuracy(spark):

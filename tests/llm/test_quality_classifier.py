@@ -104,8 +104,8 @@ def plain_statistics(text):
 
 def plain_votes(n, stats):
     def vote(x, below, above, lo, hi, one):
-        v = 2 if lo is not None and lo <= x - one and x <= hi else 0
-        if below is not None and x < below * (1 - 8 * one) or above is not None and x - one > above:
+        v = 2 if lo is not None and lo <= x - 2 * one and x <= hi else 0
+        if below is not None and x < below * (1 - 24 * one) or above is not None and x - 2 * one > above:
             v = 1
         return v
 
@@ -194,7 +194,7 @@ def test_labellers_in_other_scripts():
     russian = votes("Он пришёл домой поздно вечером, и никто его не встретил. В комнате было темно, только часы тихо стучали на стене. Утром все проснулись рано и пошли в лес за грибами.")
     assert 1 not in russian.values() and russian["function_words"] == m.UNTOLD
     assert votes("КУПИ СЕЙЧАС ДЁШЕВО ТОЛЬКО СЕГОДНЯ")["shouting"] == 1
-    assert votes("ab | cd | ef | gh")["separators"] == 1
+    assert votes("ab | cd | ef | gh | ij | kl | mn | op | qr")["separators"] == 1
 
 
 def test_columns_of_any_name(spark):

@@ -89,15 +89,22 @@ class WordTable:
         return self.flat[start + np.arange(len(start))]
 
 
+_separate: dict[str, bool] = {}
 _tables: dict[str, WordTable] = {}
 
 
+def separate(model: str) -> bool:
+    """words_are_separate() of a model, checked once for a process."""
+    if model not in _separate:
+        _separate[model] = words_are_separate(load(model))
+    return _separate[model]
+
+
 def word_table(model: str) -> WordTable | None:
     """The process's table of a model, or None if its pieces cross markers."""
-    if model not in _tables:
-        sp = load(model)
-        _tables[model] = WordTable(sp) if words_are_separate(sp) else None
-    return _tables[model]
+    if model not in _tables and separate(model):
+        _tables[model] = WordTable(load(model))
+    return _tables.get(model)
 
 
 def text_runs(texts: list[str], limit: int = 1 << 20):

@@ -7,15 +7,13 @@ whitespace marker follows another character there, and no piece of the
 vocabulary crosses that (checked once for a model). Tokens between two such
 offsets are those of the whole text. If an overlap holds no such offset it is
 doubled until it does, or until the next chunk swallows the rest. Memory for a
-document is a few chunks, whatever its length, unless it has no white space.
-
-Documents of ordinary length sum the counts of their marked words, which end at
-the same stable boundaries, from a table of distinct words. With a model
-whose pieces cross markers every text is encoded whole.
+document is its text and a few chunks, whatever its length, unless it has no
+white space. Shorter documents are one chunk. With a model whose pieces cross
+markers no offset is proven, and every text is encoded whole.
 
 Defined results: null counts as empty text: 0 bytes, 0 tokens, under any limit.
-Null ids and repeated rows are counted like others, extra columns are ignored,
-an empty table gives an empty table.
+Null ids and repeated rows are counted like others, extra columns are ignored
+whatever their names, an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,28 +24,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
-from .pieces import MARK, load, marked_words, text_runs, word_table
+from .pieces import MARK, load, separate, text_runs
+
+
+_by_id: dict[object, np.ndarray] = {}
 
 
-def _widths(pieces: list[str], sp) -> list[int]:
-    """Bytes of the text under each piece (a marker is one space)."""
-    out = []
-    for p in pieces:
-        i = sp.piece_to_id(p)
-        out.append(1 if sp.is_byte(i) else len(p.encode()) - 2 * p.count(MARK))
-    return out
+def _widths(sp, chunk: str) -> np.ndarray:
+    """Bytes of the text under each token of a chunk (a marker is one space)."""
+    if sp not in _by_id:
+        own = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        _by_id[sp] = np.array([1 if sp.is_byte(i) else len(p.encode()) - 2 * p.count(MARK) for i, p in enumerate(own)], np.int64)
+    ids = np.array(sp.encode(chunk, num_threads=1), np.int64)
+    if not (ids == sp.unk_id()).any():
+        return _by_id[sp][ids]
+    return np.array([len(p.encode()) - 2 * p.count(MARK) for p in sp.encode(chunk, out_type=str, num_threads=1)], np.int64)
 
 
 class _Encoded:
-    """A chunk text[lo:hi] with the tokens and their byte offsets from lo."""
+    """A chunk text[lo:hi] with the byte offsets from lo where its tokens end."""
 
     def __init__(self, sp, text: str, lo: int, hi: int):
         self.lo, self.hi = lo, hi
-        pieces = sp.encode(text[lo:hi], out_type=str)
-        ends = np.cumsum(_widths(pieces, sp)) if pieces else np.zeros(0, np.int64)
+        widths = _widths(sp, text[lo:hi])
         # the library puts one marker in front of the chunk, which the text lacks
-        self.count, self.ends = len(pieces), ends - 1
-        self.bytes = len(text[lo:hi].encode())
+        self.count, self.ends = len(widths), np.cumsum(widths) - 1
 
     def upto(self, byte: int) -> int | None:
         """Tokens that end at ``byte`` or before, if a token ends there."""
@@ -55,7 +56,7 @@ class _Encoded:
         return k if k and self.ends[k - 1] == byte else None
 
 
-def huge_count(sp, text: str, chunk_chars: int = 1 << 16, overlap_chars: int = 256) -> int:
+def huge_count(sp, text: str, chunk_chars: int = 1 << 12, overlap_chars: int = 256) -> int:
     """len(sp.encode(text)) from overlapping chunks."""
     text = text.replace(MARK, " ")
     total, taken = 0, 0  # tokens so far; tokens of the current chunk that precede it
@@ -84,22 +85,18 @@ def huge_count(sp, text: str, chunk_chars: int = 1 << 16, overlap_chars: int = 2
     return total + now.count - taken
 
 
-def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, chunk_chars: int = 1 << 16, overlap_chars: int = 256) -> DataFrame:
+def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, chunk_chars: int = 1 << 12, overlap_chars: int = 256) -> DataFrame:
     """``id_col``, n_bytes, n_tokens, over_limit for every row of ``df``."""
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        sp, words = load(model), word_table(model)
+        sp, proven = load(model), separate(model)
         texts = b.column(1).to_pylist()
         out = np.zeros(len(texts), np.int64)
         for lo, hi in text_runs(texts):
-            part = texts[lo:hi]
-            if words is None:
-                out[lo:hi] = [len(x) for x in sp.encode(part, num_threads=1)]
-                continue
-            huge = [len(t) > chunk_chars for t in part]
-            split = [[] if h else marked_words(t) for t, h in zip(part, huge)]
-            words.add(split)
-            out[lo:hi] = [huge_count(sp, t, chunk_chars, overlap_chars) if h else int(words.counts[words.codes(w)].sum()) for t, h, w in zip(part, huge, split)]
+            short = [i for i in range(lo, hi) if len(texts[i]) <= chunk_chars or not proven]
+            out[short] = [len(x) for x in sp.encode([texts[i] for i in short], num_threads=1)]
+            for i in set(range(lo, hi)).difference(short):
+                out[i] = huge_count(sp, texts[i], chunk_chars, overlap_chars)
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out)], ["_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))

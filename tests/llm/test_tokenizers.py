@@ -52,3 +52,24 @@ def test_small_table_is_refilled():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts(df, MODEL).collect() == [] and encode_decode(df, MODEL).collect() == []
+
+
+def test_resynchronisation_at_default_sizes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) > 4096").select("doc_id", "text")
+    long = [r.text for r in docs.collect()]
+    assert len(long) > 1000 and max(map(len, long)) > 100_000
+    made = ["word " * 40000, "one  two   three\n" * 9000, "x" * 70000 + " y" * 9000, " " * 9000 + "a b" * 5000, "日本 語▁é😀 " * 8000, "ab" * 2100 + " " + "cd" * 30000]
+    assert [huge_count(SP, t) for t in made] == [len(SP.encode(t)) for t in made]
+    got = {r.doc_id: r.n_tokens for r in token_counts(docs, MODEL).collect()}
+    assert got == {r.doc_id: len(SP.encode(r.text)) for r in docs.collect()}
+
+
+def test_most_chunks_are_spliced(monkeypatch):
+    from ledgerline.llm import token_counts as m
+
+    spans = []
+    real = m._Encoded
+    monkeypatch.setattr(m, "_Encoded", lambda sp, t, lo, hi: spans.append(hi - lo) or real(sp, t, lo, hi))
+    text = "The quick brown fox, it is said, jumps over the lazy dog. " * 5000
+    assert m.huge_count(SP, text) == len(SP.encode(text))
+    assert max(spans) == 4096 and sum(spans) < 1.1 * len(text)

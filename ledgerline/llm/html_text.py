@@ -3,24 +3,26 @@
 For every element: C characters of text, LC of them in links, T tags and LT
 link tags below it. Its link-adjusted density is the one of Sun, Song and Liao
 ("DOM based content extraction via text density", 2011): C / T, scaled down by
-a logarithm whose base grows with the share of links. The density sum of an
+a logarithm whose base grows with the share of links (C / T itself where there
+are none to adjust for). The density sum of an
 element adds the densities of its children (and its own text). The container
 with the largest density sum is the main text; the smallest density on its path
-to the body is the threshold at which other containers join it. If that
-container lies in an ``article`` element, the whole of that element is taken.
+to the body is the threshold at which other elements, beside that path, join it.
 
 Elements that never hold main text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) are left out first,
-by element name, role, class or id. A class or id drops no element that holds
-the page's articles, or most of its text if it has none, and says nothing in
-``no-``, ``has-``, ``with-`` and ``without-`` names.
+by element name, role, class or id. A class or id counts if all its words are
+such names, numbers or words for a part of a layout ("cookie-notice",
+"sidebar_2", "site-footer", but not "no-sidebar" or "post-header"), and drops no
+element that holds the page's articles, or most of its text if it has none.
 
 Defined results: null and empty html, and pages without text, give an empty
 string. Broken markup is read leniently: unknown end tags are ignored, open
 elements end with the page, a truncated tag at the end is dropped, a truncated
 character reference stays as it is. Repeated rows are extracted each, null ids
-and urls are passed through, extra columns are ignored, an empty table gives an
-empty table.
+and urls are passed through, extra columns are ignored whatever their names, an
+empty table gives an empty table. A page is read whole in one task; time and
+memory grow with its length, however deep its elements lie.
 """
 
 from __future__ import annotations
@@ -45,15 +47,28 @@ IMPLIED = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("
 #: A start tag of any others ends an open head.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 DROPPED = frozenset("head script style noscript template nav header footer aside form button select textarea input iframe object embed svg canvas dialog menu title link meta".split())
+#: Elements that hold text, and so are no containers.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li pre dt".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-_DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|sidebar|aside|footer|header|masthead|toolbar|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|comments?|commentlist|replies|respond|disqus|pagination|pager|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Names of what is no main text, and words that only place it (fixed values).
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead toolbar share sharing social related recommended newsletter subscribe signup login comment comments commentlist replies respond disqus pagination pager skip".split()
 )
+_PLACES = frozenset("site page main top bottom left right global primary secondary box bar block container wrap wrapper widget widgets section area list item items inner outer links link buttons button icons posts articles stories news slot unit form thread js sticky fixed mobile desktop".split())
+_WORDS = re.compile("[a-zA-Z]+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.DOTALL)
 _ATTRS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
 
+def names_a_fault(value: str) -> bool:
+    """Does a class or id name something that is no main text?"""
+    for name in value.lower().split():
+        words = _WORDS.findall(name)
+        if any(w in _NAMES for w in words) and all(w in _NAMES or w in _PLACES for w in words):
+            return True
+    return False
+
+
 class Node:
     __slots__ = ("C", "LC", "LT", "T", "density", "drop", "kids", "name", "named", "parent", "sum")
 
@@ -63,9 +78,20 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """A tree of the elements and decoded texts of a page."""
+    """A tree of the elements and decoded texts of a page. ``depth`` counts the
+    open elements of a name, so that none is looked for in vain."""
     root = now = Node("#root", None)
+    depth: dict[str, int] = {}
     at, end = 0, len(page)
+
+    def leave(to: Node) -> Node:
+        """Close open elements up to ``to``, which stays open."""
+        node = now
+        while node is not to:
+            depth[node.name] -= 1
+            node = node.parent
+        return to
+
     while at < end:
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -79,33 +105,37 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
+            if not depth.get(name):
+                continue
             node = now
-            while node.parent is not None and node.name != name:
-                if name == "p" and node.name in ENDS_P and node.name != "p":
+            while node.name != name:
+                if name == "p" and node.name in ENDS_P:
                     break
                 node = node.parent
-            if node.name == name and node.parent is not None:
-                now = node.parent
+            if node.name == name:
+                now = leave(node.parent)
             continue
-        if name == "body" or now.name == "head" and name not in IN_HEAD:
+        if depth.get("head") and (name == "body" or now.name == "head" and name not in IN_HEAD):
             node = now
-            while node.parent is not None and node.name != "head":
+            while node.name != "head":
                 node = node.parent
-            now = node.parent or now
-        if name in ENDS_P:
+            now = leave(node.parent)
+        if name in ENDS_P and depth.get("p"):
             node = now
-            while node.parent is not None and (node.name in INLINE or node.name == "p"):
-                if node.name == "p":
-                    now = node.parent
-                    break
+            while node.name in INLINE:
                 node = node.parent
+            if node.name == "p":
+                now = leave(node.parent)
         if name in IMPLIED:
             ended, limits = IMPLIED[name]
-            ended, node = ended.split(), now
-            while node.parent is not None and node.name not in limits:
-                if node.name in ended:
-                    now = node.parent
-                node = node.parent
+            ended, node, to = ended.split(), now, None
+            if any(depth.get(x) for x in ended):
+                while node.parent is not None and node.name not in limits:
+                    if node.name in ended:
+                        to = node.parent
+                    node = node.parent
+                if to is not None:
+                    now = leave(to)
         drop, named = name in DROPPED, False
         if not drop and m[3] and name not in ("body", "html", "article", "main"):
             for key, a, b, c in _ATTRS.findall(m[3]):
@@ -113,7 +143,7 @@ def parse(page: str) -> Node:
                 if key.lower() == "role":
                     drop |= value.lower() in DROPPED_ROLES
                 else:
-                    named |= bool(_DROPPED_NAMES.search(value))
+                    named |= names_a_fault(value)
         kid = Node(name, now, drop or named)
         kid.named = named and not drop
         now.kids.append(kid)
@@ -126,6 +156,7 @@ def parse(page: str) -> Node:
             at = page.find(">", stop) + 1 if close and page.find(">", stop) >= 0 else stop if not close else end
             continue
         now = kid
+        depth[name] = depth.get(name, 0) + 1
     return root
 
 
@@ -241,38 +272,32 @@ def main_text(page: str | None) -> str:
         body = root
     for n in order:
         n.density = _density(n, body)
-    best = None
+    best, inside = None, {id(body)}
+    for n in reversed(order):  # parents before children
+        if n is body or n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
     for n in order:
-        if n.name in INLINE or n.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "dt"):
+        if id(n) not in inside or n.name in INLINE or n.name in TEXTUAL or not n.C:
             continue
         n.sum = sum(len("".join(k.split())) if isinstance(k, str) else 0.0 if k.drop else k.density for k in n.kids)
-        up = n
-        while up is not None and up is not body:
-            up = up.parent
-        if n.C and up is body and (best is None or n.sum >= best.sum):
+        if best is None or n.sum >= best.sum:
             best = n
     if best is None:
         return ""
-    path, node = [], best
-    while node is not None:
-        path.append(node)
-        if node is body:
-            break
+    above, node, threshold = set(), best, best.density
+    while node is not body:
         node = node.parent
-    threshold = min(n.density for n in path)
-    whole = next((n for n in reversed(path) if n.name == "article"), best)
-    above = {id(n) for n in path[path.index(whole) + 1 :]}
+        above.add(id(node))
+        threshold = min(threshold, node.density)
     out: list[str] = []
     todo: list = [body]
     while todo:
         x = todo.pop()
         if isinstance(x, str) or x.drop:
             continue
-        if x is whole:
-            out += _blocks(x)
-        elif id(x) in above:
+        if id(x) in above:
             todo += reversed(x.kids)
-        elif x.name not in INLINE and x.C and x.density >= threshold and x.density > 0:
+        elif x is best or x.name not in INLINE and x.C and x.density >= threshold and x.density > 0:
             out += _blocks(x)
     return "\n\n".join(out)
 

@@ -1,3 +1,7 @@
+import math
+import random
+import time
+
 from ledgerline.llm.html_text import html_text, main_text
 from ledgerline.llm.queries import op6_html_text
 
@@ -69,3 +73,103 @@ def test_wrappers_open_heads_and_second_articles():
     assert main_text(f"<html><head><title>t</title><p>{one}</p><p>{two}</p></html>") == want
     assert main_text(f"<body><article><p>{one}</p></article><article><p>{two}</p></article></body>") == want
     assert main_text(f"<body><article><p>{one}</p></article><div class=comments><article><p>{two * 3}</p></article></div></body>") == one.strip()
+
+
+def test_class_names_of_layouts():
+    one, two, junk = "word " * 60, "more " * 60, "junk " * 20
+    for name in ("ad", "cookie-notice", "site-footer", "sidebar_2", "related-posts", "commentList", "share-buttons", "nav main", "ad-slot-1", "js-comments-area"):
+        assert main_text(f"<body><div><p>{one}</p><p>{two}</p><div class='{name}'><p>{junk}</p></div></div></body>") == one.strip() + "\n\n" + two.strip(), name
+    for name in ("no-sidebar", "post-header", "with-comments", "entry-header", "has_menu", "content", "headline", "download", "adjective", "article-footer", "x-share-story-title"):
+        assert main_text(f"<body><div><div class='{name}'><p>{junk}</p></div><p>{one}</p><p>{two}</p></div></body>").startswith("junk"), name
+    for name in ("content no-sidebar", "single with-comments"):
+        assert main_text(f"<body><div class='{name}'><p>{one}</p><p>{two}</p></div></body>") == one.strip() + "\n\n" + two.strip(), name
+
+
+def test_deep_markup_is_linear():
+    t0 = time.process_time()
+    assert main_text("<div>" * 100_000 + "deep") == "deep"
+    assert main_text("<b>" * 50_000 + "<div>x</div>" * 1000 + "</i>" * 50_000).count("x") == 1000
+    assert time.process_time() - t0 < 10
+
+
+def tree(r, depth):
+    """(name, children) of a random page of containers, paragraphs and links."""
+    kids = []
+    for _ in range(r.randrange(1, 5)):
+        if depth < 4 and r.random() < 0.5:
+            kids.append(tree(r, depth + 1))
+        else:
+            say = [("a", [w]) if r.random() < 0.3 else w for w in ("".join(r.choice("abcdef ") for _ in range(r.randrange(3, 60))) + "x" for _ in range(r.randrange(1, 4)))]
+            kids.append(("p", say))
+    return ("div", kids)
+
+
+def render(node):
+    return node if isinstance(node, str) else f"<{node[0]}>" + "".join(map(render, node[1])) + f"</{node[0]}>"
+
+
+def counts(node):
+    """C, LC, T, LT by the definition, recursively."""
+    if isinstance(node, str):
+        return len(node.replace(" ", "")), 0, 0, 0
+    own = [counts(k) for k in node[1]]
+    c, lc, t, lt = (sum(x[i] for x in own) for i in range(4))
+    t += sum(not isinstance(k, str) for k in node[1])
+    lt += sum(k[0] == "a" for k in node[1] if not isinstance(k, str))
+    return c, c if node[0] == "a" else lc, t, lt
+
+
+def density(node, body):
+    c, lc, t, lt = counts(node)
+    cb, lcb, _, _ = counts(body)
+    if c == 0:
+        return 0.0
+    base = math.log(c / max(c - lc, 1) * lc + lcb / cb * c + math.e)
+    scale = c / max(lc, 1) * max(t, 1) / max(lt, 1)
+    if lc == 0 and (base < 1.0001 or scale <= 1):  # no links, nothing to adjust
+        return c / max(t, 1)
+    return c / max(t, 1) * (math.log(scale) / math.log(base) if scale > 1 else 0.0)
+
+
+def plain_blocks(node):
+    if node[0] == "p":
+        text = " ".join("".join(k if isinstance(k, str) else "".join(k[1]) for k in node[1]).split())
+        return [text] if text else []
+    return [b for k in node[1] for b in plain_blocks(k)]
+
+
+def expected(body):
+    found = []
+
+    def visit(node, path):
+        if node[0] != "p":
+            found.append((sum(density(k, body) for k in node[1]), len(found), node, path + [node]))
+            for k in node[1]:
+                visit(k, path + [node])
+
+    visit(body, [])
+    top = max(f[0] for f in found)
+    if sum(f[0] > top - 1e-9 for f in found) > 1:
+        return None
+    _, _, best, path = max(found, key=lambda f: f[0])
+    threshold = min(density(n, body) for n in path)
+
+    def take(node):
+        if any(node is n for n in path[:-1]):
+            return [b for k in node[1] for b in take(k)]
+        return plain_blocks(node) if node is best or density(node, body) >= threshold > 0 else []
+
+    return "\n\n".join(take(body))
+
+
+def test_density_against_the_definition():
+    r = random.Random(11)
+    tried = whole = 0
+    for _ in range(400):
+        page = tree(r, 0)
+        want = expected(("body", [page]))
+        if want is not None:
+            tried += 1
+            whole += want == "\n\n".join(plain_blocks(page))
+            assert main_text(f"<html><body>{render(page)}</body></html>") == want
+    assert tried > 300 and 20 < whole < tried - 20

@@ -30,11 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
     Only where the session names none and all of Spark runs in one process
-    (tests) a temporary folder is made and named for the rest of the session;
+    (tests) a temporary folder is made, one for the application;
     on a cluster a missing setting is an error.
     """
     key = "spark.checkpoint.dir"
@@ -42,8 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not place:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError(f"set {key} to a folder that all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set(key, place)
+        own = spark.sparkContext.applicationId
+        place = _own[own] = _own.get(own) or "file://" + tempfile.mkdtemp(prefix="ledgerline-")
     return place.rstrip("/")
 
 

@@ -8,6 +8,7 @@ variant; fingerprints that collide on a variant are in turn linked.
 * Variants are shuffled by their leading bits. A fingerprint has 2081 variants
   within 2 of 64 bits but only 1 + p + p(p-1)/2 different p-bit heads, so it is
   sent once for each head and the variants under a head are enumerated there.
+  Heads grow with the fingerprints, so what meets under a head doesn't.
 * A head with many fingerprints is split by further bits until its variants
   fit a fixed slab; a full variant is hit by 2081 fingerprints at most, so one
   large group of near copies cannot fill a slab.
@@ -21,8 +22,9 @@ component in one join at the end, which Spark may split for a hot fingerprint.
 
 Defined results: null and empty texts have fingerprint zero and are linked like
 others. A component's id is its smallest non-null doc id (null if it has none).
-Repeated rows are rows of the same component. Extra columns are ignored. An
-empty table gives an empty table.
+Repeated rows are rows of the same component. Extra columns are ignored
+whatever their names. An empty table gives an empty table. A text is hashed whole
+in one task; bits are counted in slabs of shingles, however long it is.
 """
 
 from __future__ import annotations
@@ -146,7 +148,7 @@ def links(fps: DataFrame, radius: int = 4, head_bits: int | None = None) -> Data
     half = radius // 2
     spark = fps.sparkSession
     if head_bits is None:  # aim at some four slabs under a head
-        head_bits = min(18, max(6, (fps.count() * 2081 // (4 * SLAB)).bit_length() + 2))
+        head_bits = min(32, max(6, (fps.count() * 2081 // (4 * SLAB)).bit_length() + 2))
 
     def send(batches):
         masks = flips(head_bits, half)

@@ -6,11 +6,14 @@ each of its windows, and sorting the windows there counts them exactly.
 
 How the work is laid out:
 
-1. A count sketch of all m-word groups (one pass, all rows, fixed size) marks
-   the few groups that are so frequent that they would draw a bucket full of
-   unrelated contexts. The minimiser order prefers other groups, so a common
-   line or passage doesn't become one hot bucket. The order only decides where
-   a window goes; equal windows go to the same place under any order.
+1. A count sketch of all m-word groups (one pass, all rows; its size follows
+   from the size of the input, up to a bound) marks the few groups that are so
+   frequent that they would draw a bucket full of unrelated contexts. The
+   minimiser order prefers other groups, so a common line or passage doesn't
+   become one hot bucket. Where the minimiser that is left still draws more than
+   a bucket's share, its windows are dealt by a second one as well (the largest
+   group in the order). The order only decides where a window goes; equal
+   windows go to the same place under any order.
 2. Documents are dealt to chunks by a hash of the row. A chunk sends each
    distinct super-k-mer once, however many of its documents hold it, so a
    group of copies costs a bucket one string for each chunk, not each document.
@@ -22,8 +25,9 @@ How the work is laid out:
 Defined results: null and empty texts have no words, nothing is removed and
 the kept text is empty. Repeated rows are separate documents: their windows
 count against each other. A text shorter than the window keeps all words. Rows
-with a null id are treated like any other. Extra input columns are ignored. An
-empty table gives an empty table.
+with a null id are treated like any other. Extra input columns are ignored
+whatever their names. An empty table gives an empty table. A text is cut in one
+task, in memory of some fifty times its length; its windows are counted apart.
 """
 
 from __future__ import annotations
@@ -37,6 +41,9 @@ from pyspark.sql import functions as F
 from .common import Lexed, as_bytes, cut, mix64, runs_by_size, shuffle_partitions
 
 MER = 5
+#: The sketch has 2^LEAST_BITS to 2^MOST_BITS slots: a task holds 32 MB of counts,
+#: and every task of the closure 4 MB of marks, at most.
+LEAST_BITS, MOST_BITS = 16, 22
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[str, np.ndarray] = {}
@@ -83,21 +90,29 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(have) - rest], have[rest:]) if rest else have
 
 
-def super_kmers(lx: Lexed, window: int, hot: np.ndarray, buckets: int):
-    """(first word, number of windows, bucket) of every super-k-mer."""
+HOT, HEAVY = 1, 2
+
+
+def super_kmers(lx: Lexed, window: int, marks: np.ndarray, buckets: int):
+    """(first word, number of windows, bucket) of every super-k-mer. ``marks``
+    says of each slot of the sketch whether its groups are HOT or HEAVY."""
     none = np.empty(0, np.int64)
     if len(lx) < window:
         return none, none, none
     mer = mer_hashes(word_hashes(lx))
-    bits = hot.size.bit_length() - 1
-    order = mer >> np.uint64(1)
-    order |= hot[mer >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(63)
+    mark = marks[mer >> np.uint64(64 - (marks.size.bit_length() - 1))]
+    order = mer >> np.uint64(2)
+    order |= mark.astype(np.uint64) << np.uint64(62)
     key = sliding_min(order, window - MER + 1)
     ends = np.repeat(lx.first[1:], np.diff(lx.first))
     at = np.flatnonzero(ends[: len(key)] - np.arange(len(key)) >= window)
     if not len(at):
         return none, none, none
     k = key[at]
+    heavy = k >> np.uint64(63) > 0  # no lighter group in the window
+    if heavy.any():
+        second = ~sliding_min(~order, window - MER + 1)[at]
+        k = np.where(heavy, mix64(k ^ mix64(second)), k)
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (k[1:] != k[:-1]))))
     count = np.diff(np.concatenate((new, [len(at)])))
     bucket = (mix64(k[new]) % np.uint64(buckets)).astype(np.int64)
@@ -107,7 +122,7 @@ def super_kmers(lx: Lexed, window: int, hot: np.ndarray, buckets: int):
 class _Chunk:
     """Documents of a chunk in a fixed order, and their distinct super-k-mers."""
 
-    def __init__(self, t: pa.Table, window: int, hot: np.ndarray, buckets: int, pack: bool):
+    def __init__(self, t: pa.Table, window: int, marks: np.ndarray, buckets: int, pack: bool):
         texts = as_bytes(t["_text"])
         ids = t["_order"].to_pylist()
         self.order = sorted(range(len(texts)), key=lambda i: (ids[i] is not None, ids[i] or "", texts[i]))
@@ -119,7 +134,7 @@ class _Chunk:
         strings = self.strings
         for a, b in runs_by_size(texts):
             lx = Lexed(texts[a:b])
-            first, count, bucket = super_kmers(lx, window, hot, buckets)
+            first, count, bucket = super_kmers(lx, window, marks, buckets)
             norm = lx.norm.tobytes()
             lo, hi = lx.start[first].tolist(), lx.end[first + (count + window - 2)].tolist() if len(first) else []
             own = []
@@ -143,9 +158,9 @@ class _Chunk:
                 self.occ.append((first, np.array(own, np.int64)))
 
 
-def _pack(window: int, hot: np.ndarray, buckets: int):
+def _pack(window: int, marks: np.ndarray, buckets: int):
     def fn(t: pa.Table) -> pa.Table:
-        chunk = _Chunk(t, window, hot, buckets, True)
+        chunk = _Chunk(t, window, marks, buckets, True)
         z = zstandard.ZstdCompressor(level=3)
         bks = sorted(chunk.packed)
         blobs = [z.compress(b"\n".join(chunk.packed[b])) for b in bks]
@@ -223,9 +238,9 @@ def _count(window: int):
     return fn
 
 
-def _cut_words(window: int, hot: np.ndarray, buckets: int):
+def _cut_words(window: int, marks: np.ndarray, buckets: int):
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = _Chunk(left, window, hot, buckets, False)
+        chunk = _Chunk(left, window, marks, buckets, False)
         base, flags, have = {}, [], 0
         sent = dict(zip(right["bucket"].to_pylist(), right["bits"].to_pylist()))
         for bk, n in chunk.fill.items():
@@ -282,34 +297,48 @@ def sketch_groups(docs: DataFrame, slots: int) -> tuple[DataFrame, int]:
     return counts, counts.agg(F.sum("n")).first()[0] or 0
 
 
-def hot_groups(counts: DataFrame, total: int, slots: int) -> np.ndarray:
-    """The slots that hold over eight times the mean (at most an eighth of all,
-    by that rule) and over 64 groups."""
-    out = np.zeros(slots, bool)
-    out[[r.slot for r in counts.where(F.col("n") > max(64, 8 * total // slots)).select("slot").collect()]] = True
+def marked_groups(counts: DataFrame, total: int, slots: int, bucket_words: int) -> np.ndarray:
+    """HOT for the slots that hold over eight times the mean (at most an eighth
+    of all, by that rule) and over 64 groups; HEAVY for those with more groups
+    than a bucket has windows (and twice the mean, should all slots be so full)."""
+    out = np.zeros(slots, np.uint8)
+    hot, heavy = max(64, 8 * total // slots), max(64, bucket_words, 2 * total // slots)
+    for r in counts.where(F.col("n") > min(hot, heavy)).select("slot", "n").toLocalIterator():
+        out[r.slot] = (HOT if r.n > hot else 0) | (HEAVY if r.n > heavy else 0)
     return out
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_words: int = 500_000, bucket_words: int = 800_000, sketch_slots: int = 1 << 16) -> DataFrame:
+def slots_for(df: DataFrame, bucket_words: int) -> int:
+    """Eight slots for each bucket that a table of this size (by the scan's own
+    estimate, or a sum where there is none; some six bytes a word) will have, as
+    a power of two."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    return 1 << min(MOST_BITS, max(LEAST_BITS, (8 * size // (6 * bucket_words)).bit_length()))
+
+
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_words: int = 500_000, bucket_words: int = 800_000, sketch_slots: int | None = None) -> DataFrame:
     """``id_col``, n_words, n_removed, kept_text of every row of ``df``.
 
     A word is removed if a window of ``window`` words that covers it occurs
     anywhere else, in the same or another document, as judged on the input.
     A chunk has some ``chunk_words`` words of documents and a bucket the
     super-k-mers of some ``bucket_words`` windows, so that the strings between
-    them are few and large. ``sketch_slots`` should be eight times the number
-    of buckets or more.
+    them are few and large. ``sketch_slots`` (a power of two) is eight for
+    each bucket, unless given.
     """
     if window < MER:
         raise ValueError(f"window must be {MER} words at least")
     parts = shuffle_partitions(df.sparkSession)
     docs = df.select(F.col(id_col).alias("_id"), F.col(id_col).cast("string").alias("_order"), F.col(text_col).cast("binary").alias("_text"))
-    counts, total = sketch_groups(docs, sketch_slots)
-    hot = hot_groups(counts, total, sketch_slots)
+    slots = sketch_slots or slots_for(docs.select("_text"), bucket_words)
+    counts, total = sketch_groups(docs, slots)
+    marks = marked_groups(counts, total, slots, bucket_words)
     chunks, buckets = 1 + total // chunk_words, 1 + total // bucket_words
     dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64("_order", "_text"), F.lit(chunks)).cast("int")).repartition(parts, "_chunk")
-    packed = dealt.groupBy("_chunk").applyInArrow(_pack(window, hot, buckets), "bucket int, chunk int, blob binary")
+    packed = dealt.groupBy("_chunk").applyInArrow(_pack(window, marks, buckets), "bucket int, chunk int, blob binary")
     bits = packed.groupBy("bucket").applyInArrow(_count(window), "_chunk int, bucket int, bits binary")
     kind = df.schema[id_col].dataType.simpleString()
-    out = dealt.groupBy("_chunk").cogroup(bits.groupBy("_chunk")).applyInArrow(_cut_words(window, hot, buckets), f"_id {kind}, n_words long, n_removed long, kept_text string")
+    out = dealt.groupBy("_chunk").cogroup(bits.groupBy("_chunk")).applyInArrow(_cut_words(window, marks, buckets), f"_id {kind}, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("_id", id_col)

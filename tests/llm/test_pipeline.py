@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline as cp
-from ledgerline.llm import decontamination, quality_classifier
+from ledgerline.llm import common, decontamination, quality_classifier
 
 from .test_decontamination import semi_global
 from .test_line_dedup import brute as brute_lines
@@ -71,7 +71,7 @@ def test_repeated_rows_leave_one(spark, made):
 def test_short_lines_go_too(spark):
     rows = [(1, "All rights reserved.\nabcdefgh\none"), (2, "abcdefgh\ntwo\n\nAll  rights reserved."), (3, "\nPage 4\nthree"), (4, "Page 5\n\nfour")]
     out = cp.without_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
-    want = [(i, t) for i, t, _, _ in brute_lines(rows, min_tokens=1)]
+    want = [(i, t) for i, t, _, _ in brute_lines(rows)]
     assert sorted(tuple(r) for r in out.collect()) == want
     assert dict(want) == {1: rows[0][1], 2: "two\n", 3: rows[2][1], 4: "\nfour"}
 
@@ -83,3 +83,36 @@ def test_every_template_of_a_leaf_goes(spark):
     rows = [(i, f"{w[i]} alone\n{say(i)}") for i in range(50)]
     got = dict(tuple(r) for r in cp.without_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
     assert got == {i: t if i < 3 or i >= 30 else f"{w[i]} alone" for i, t in rows}
+
+
+def test_columns_of_any_name(spark, made):
+    d, rows, _ = made
+    names = ["_quality", "_hits", "_n_lines", "_n_dropped", "_key", "_row", "_text", "h", "root", "a.b", "fp", "_least"]
+    docs = spark.createDataFrame([(i, t, f"v{i}", *range(len(names))) for i, t in rows[:50:3] + [(112, rows[7][1])]], f"doc_id long, text string, extra string, {', '.join(f'`{n}` int' for n in names)}")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(tuple(r)[3:] == tuple(range(len(names))) and r.extra == f"v{r.doc_id}" for r in got), name
+    assert cp.STAGES[-1][1](spark, docs, d).count() == docs.count()
+
+
+def test_tables_between_stages_are_deleted(spark, made, tmp_path, monkeypatch):
+    d, _, _ = made
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    out = cp.run(spark, d)
+    assert [p.name.split("-")[0] for p in (tmp_path / "ledgerline").iterdir()] == ["stage4"]
+    assert out.count() > 40
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ledgerline.llm.common import shared_dir
+
+    session = lambda master, place=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, x=None: place, set=lambda k, v: None), sparkContext=SimpleNamespace(master=master, applicationId=master, getConf=lambda: SimpleNamespace(get=lambda k, x=None: None)))
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(session("local[8]")).startswith("file:")

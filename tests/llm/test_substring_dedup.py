@@ -56,6 +56,29 @@ def test_all_groups_hot(spark):
     assert run(spark, rows, window=35) == brute(rows, 35)
 
 
+def test_heavy_groups_are_dealt_twice(spark):
+    import numpy as np
+
+    from ledgerline.llm import substring_dedup as m
+    from ledgerline.llm.common import Lexed
+
+    r = random.Random(4)
+    rows = [(i, " ".join([f"h{r.randrange(3)}" for _ in range(20)] + ["the same nine words stand here in every text"] + [f"u{r.randrange(4)}" for _ in range(20)])) for i in range(250)]
+    for kw in ({}, {"bucket_words": 50}, {"bucket_words": 50, "chunk_words": 500, "sketch_slots": 64}):
+        assert run(spark, rows, window=8, **kw) == brute(rows, 8)
+    lx = Lexed([rows[0][1].encode()])
+    _, one, few = m.super_kmers(lx, 8, np.zeros(64, np.uint8), 1 << 20)
+    _, two, more = m.super_kmers(lx, 8, np.full(64, m.HOT | m.HEAVY, np.uint8), 1 << 20)
+    assert one.sum() == two.sum() == len(lx) - 7 and len(more) > len(few)
+
+
+def test_sketch_grows_with_the_table(spark):
+    from ledgerline.llm import substring_dedup as m
+
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
+    assert m.slots_for(df, 800_000) == 1 << m.LEAST_BITS < m.slots_for(df, 5) <= 1 << m.MOST_BITS == m.slots_for(df, 1)
+
+
 def test_hash_collisions_are_resolved(spark, monkeypatch):
     import numpy as np
 

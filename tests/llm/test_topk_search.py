@@ -10,11 +10,11 @@ def brute(rows, k, ids):
 
     good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted({i for i, _ in good if ids(i)}):
-        qv = min(v for i, v in good if i == q)
-        s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(qv, v)))), i) for i, v in good if i != q)
-        out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:k])]
-    return out
+    for a, (q, qv) in enumerate(good):
+        if ids(q):
+            s = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(qv, v)))), i) for b, (i, v) in enumerate(good) if a != b)
+            out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:k])]
+    return sorted(out)
 
 
 def run(spark, rows, k, mod, kind="float", **kw):
@@ -36,3 +36,12 @@ def test_few_candidates_large_values_and_empty(spark):
     assert run(spark, [(2, [1.0])], 10, 2) == []
     rows = [(0, [3e12, -1.0]), (1, [2e12, 7.0]), (2, [1e300, 1.0]), (3, [-1.0, -1.0])]
     assert run(spark, rows, 10, 2, "double") == brute(rows, 10, lambda i: i % 2 == 0)
+
+
+def test_repeated_ids_are_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (0, [-1.0, 2.0])]
+    got = run(spark, rows, 10, 2)
+    assert got == brute(rows, 10, lambda i: i % 2 == 0) and len(got) == 9
+    assert run(spark, rows, 10, 2, shard_rows=1, block_rows=1) == got
+    big = [(0, [1e20, 1.0]), (1, [3e16, 0.0]), (2, [1e307, 1.0])]
+    assert run(spark, big, 10, 2, "double") == brute(big[:2], 10, lambda i: i % 2 == 0)

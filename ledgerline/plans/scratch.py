@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_own: dict[str, str] = {}
+
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path under the folder that the session names in
-    ``spark.checkpoint.dir``; a temporary folder only where it names none."""
+    ``spark.checkpoint.dir``. Where it names none, a temporary folder if all of
+    Spark runs in one process, else an error: executors don't share one."""
     key = "spark.checkpoint.dir"
     root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set(key, root)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {key} to a folder that all executors share")
+        own = spark.sparkContext.applicationId
+        root = _own[own] = _own.get(own) or "file://" + tempfile.mkdtemp(prefix="ledgerline-")
     return f"{root.rstrip('/')}/ledgerline/{name}-{uuid.uuid4().hex}"

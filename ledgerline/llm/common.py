@@ -7,6 +7,8 @@ Words everywhere in this subpackage are maximal runs of bytes outside
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -156,6 +158,27 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: the worker
+    lives on beside the tasks of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def then_released(fn):
+    """``fn`` over batches, and release() when they have all been read."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(batch) -> pa.RecordBatch | None`` over Arrow batches."""
 
@@ -164,4 +187,4 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
 
-    return df.mapInArrow(each, schema)
+    return df.mapInArrow(then_released(each), schema)

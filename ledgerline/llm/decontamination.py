@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, named
+from .common import cut, named, then_released
 
 
 #: Verified blocks that are remembered in a text.
@@ -280,7 +280,7 @@ def _search(packed: DataFrame, part, hits: str, error_rate: float, piece_chars:
             got = [[{"item_id": i, "distance": d, "end": e} for n, d, e in matcher.find(normalise(t)) for i in matcher.items[n][1]] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, want)], ["_row", "_new"])
 
-    return packed.mapInArrow(fn, f"_row {row}, _new {hits}")
+    return packed.mapInArrow(then_released(fn), f"_row {row}, _new {hits}")
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

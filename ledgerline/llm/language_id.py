@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, then_released
 from .pieces import text_runs
 
 UNKNOWN = "und"
@@ -116,7 +116,7 @@ def learn(labelled: DataFrame, size: int = 400, sample_per_language: int = 2000)
                     code, n = np.unique(grams(own[lo:hi])[1], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
-    counts = few.select("_lang", "_text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = few.select("_lang", "_text").mapInArrow(then_released(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("code")))
     top = counts.withColumn("place", place).where(F.col("place") <= size).collect()
     out: dict[str, list] = {}

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import then_released
 from .pieces import load, marked_words, text_runs, word_table
 
 
@@ -69,7 +70,7 @@ def encode_decode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     """``id_col``, ids array<int>, decoded string for every row of ``df``."""
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = df.schema[id_col].dataType.simpleString()
-    return docs.mapInArrow(_coder(model), f"_id {kind}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
+    return docs.mapInArrow(then_released(_coder(model)), f"_id {kind}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexed, as_bytes, cut, map_batches, runs_by_size, shuffle_partitions
+from .common import Lexed, as_bytes, cut, map_batches, runs_by_size, shuffle_partitions, then_released
 
 BITS = 64
 SLAB = 1 << 21
@@ -167,7 +167,7 @@ def links(fps: DataFrame, radius: int = 4, head_bits: int | None = None) -> Data
         e = stars(own, t["head"][0].as_py(), head_bits, half)
         return pa.table({"a": pa.array(e[:, 0].astype(np.uint64).view(np.int64)), "b": pa.array(e[:, 1].astype(np.uint64).view(np.int64))})
 
-    dealt = fps.repartition(shuffle_partitions(spark), "fp").mapInArrow(send, "head long, blob binary")
+    dealt = fps.repartition(shuffle_partitions(spark), "fp").mapInArrow(then_released(send), "head long, blob binary")
     return dealt.groupBy("head").applyInArrow(meet, "a long, b long").distinct()
 
 

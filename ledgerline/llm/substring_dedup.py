@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexed, as_bytes, cut, mix64, runs_by_size, shuffle_partitions
+from .common import Lexed, as_bytes, cut, mix64, runs_by_size, shuffle_partitions, then_released
 
 MER = 5
 #: The sketch has 2^LEAST_BITS to 2^MOST_BITS slots: a task holds 32 MB of counts,
@@ -292,7 +292,7 @@ def sketch_groups(docs: DataFrame, slots: int) -> tuple[DataFrame, int]:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["slot", "n"])
 
-    counts = docs.select("_text").mapInArrow(sketch, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = docs.select("_text").mapInArrow(then_released(sketch), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     counts = cut(counts, "sketch")
     return counts, counts.agg(F.sum("n")).first()[0] or 0
 

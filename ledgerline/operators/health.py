@@ -12,12 +12,23 @@ TIMEOUT_MIN_MS, TIMEOUT_MAX_MS, TIMEOUT_FACTOR, TIMEOUT_QUANTILE = 50, 5000, 2.0
 SUSPECT_AFTER_S, DEAD_AFTER_S = 30, 60
 
 
+#: Parts in which the newest rows of a key are looked for first.
+PARTS = 64
+
+
+def newest(df: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """The ``most`` newest rows of each key. Parts of a key, by a hash, are cut
+    to as many rows first, so that none with a long history meets in one task."""
+    part = Window.partitionBy(key, F.pmod(F.xxhash64(order), F.lit(PARTS))).orderBy(F.desc(order))
+    few = df.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= most)
+    return few.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_r") <= most).drop("_r")
+
+
 def latest_intervals(beats: DataFrame, window: int = PHI_WINDOW) -> DataFrame:
-    """node, gap_us of the last ``window`` gaps between a node's heartbeats."""
+    """node, ts_us, gap_us of the last ``window`` gaps between a node's heartbeats."""
     w = Window.partitionBy("node").orderBy("ts_us")
-    gaps = beats.select("node", "ts_us", (F.col("ts_us") - F.lag("ts_us").over(w)).alias("gap_us")).where("gap_us is not null")
-    back = Window.partitionBy("node").orderBy(F.desc("ts_us"))
-    return gaps.withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= window).drop("_r")
+    few = newest(beats.select("node", "ts_us"), "node", "ts_us", window + 1)
+    return few.withColumn("gap_us", F.col("ts_us") - F.lag("ts_us").over(w)).where("gap_us is not null")
 
 
 def phi_accrual(beats: DataFrame, now_us: int) -> DataFrame:
@@ -31,19 +42,25 @@ def phi_accrual(beats: DataFrame, now_us: int) -> DataFrame:
     return both.select("node", "n_intervals", "mean_us", "phi", (F.col("phi") >= PHI_DEAD).alias("dead"))
 
 
-def ratio_suspicion(beats: DataFrame, now_us: int, window_us: int) -> DataFrame:
-    """node, ratio: elapsed time over the mean gap of the heartbeats in the last
-    ``window_us``; null where fewer than two are in it."""
-    recent = beats.where(F.col("ts_us") >= now_us - window_us)
-    agg = recent.groupBy("node").agg(F.count("*").alias("n"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
-    mean = (F.col("hi") - F.col("lo")) / (F.col("n") - 1)
-    return agg.select("node", "n", F.when((F.col("n") > 1) & (F.col("hi") > F.col("lo")), (F.lit(now_us) - F.col("hi")) / mean).alias("ratio"))
+def ratio_suspicion(beats: DataFrame, now_us: int, window_us: int, nodes: DataFrame | None = None, threshold: float = 8.0, least: int = 3) -> DataFrame:
+    """node, n, ratio, available: elapsed time over the mean gap of the
+    heartbeats in the ``window_us`` before a node's last; 0 below ``least``
+    heartbeats (or two). A node of ``nodes`` without a heartbeat has
+    ``threshold`` + 1. Gaps are means in whole nanoseconds."""
+    last = beats.groupBy("node").agg(F.max("ts_us").alias("hi"))
+    recent = beats.join(F.broadcast(last), "node").where(F.col("ts_us") >= F.col("hi") - window_us)  # one row for each node
+    agg = recent.groupBy("node", "hi").agg(F.count("*").alias("n"), F.min("ts_us").alias("lo"))
+    mean = F.expr("(hi - lo) * 1000 div greatest(n - 1, 1)")
+    ratio = F.when((F.col("n") < max(2, least)) | (mean <= 0), 0.0).otherwise((F.lit(now_us) - F.col("hi")) * 1000.0 / mean)
+    out = agg.select("node", "n", ratio.alias("ratio"))
+    if nodes is not None:
+        out = nodes.select("node").distinct().join(out, "node", "left").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("ratio", F.lit(threshold + 1)).alias("ratio"))
+    return out.withColumn("available", F.col("ratio") < threshold)
 
 
 def adaptive_timeout(samples: DataFrame) -> DataFrame:
     """node, n_samples, timeout_ms from each node's last hundred latencies."""
-    back = Window.partitionBy("node").orderBy(F.desc("seq"))
-    last = samples.where("latency_ms is not null").withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= TIMEOUT_WINDOW)
+    last = newest(samples.where("latency_ms is not null").select("node", "seq", "latency_ms"), "node", "seq", TIMEOUT_WINDOW)
     agg = last.groupBy("node").agg(F.count("*").alias("n_samples"), F.expr(f"percentile_disc({TIMEOUT_QUANTILE}) within group (order by latency_ms)").alias("_p"))
     clamped = F.floor(F.greatest(F.lit(float(TIMEOUT_MIN_MS)), F.least(F.lit(float(TIMEOUT_MAX_MS)), F.col("_p") * TIMEOUT_FACTOR)))
     return agg.select("node", "n_samples", F.when(F.col("n_samples") < TIMEOUT_LEAST, TIMEOUT_DEFAULT_MS).otherwise(clamped).cast("long").alias("timeout_ms"))
@@ -71,9 +88,30 @@ def merge_members(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def merge_heartbeats(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """node, addr, heartbeat, state after a peer's answer: a node that the peer
+    knows by a newer heartbeat, or that is new, is taken over as alive; on equal
+    heartbeats the own entry stays."""
+    cols = ["node", "addr", "heartbeat", "state"]
+    both = mine.select(*cols, F.lit(1).alias("_own")).unionByName(theirs.select("node", "addr", "heartbeat", F.lit("alive").alias("state"), F.lit(0).alias("_own")))
+    best = F.max_by(F.struct("addr", "heartbeat", "state"), F.struct("heartbeat", "_own"))
+    return both.groupBy("node").agg(best.alias("_b")).select("node", "_b.addr", "_b.heartbeat", "_b.state")
+
+
+def probe_states(members: DataFrame, probes: DataFrame) -> DataFrame:
+    """node, state, last_seen after health checks (node, ts_us, ok): the last
+    probe makes a node healthy or unhealthy. Nodes that are leaving or down
+    aren't probed, and unknown nodes are ignored."""
+    last = probes.groupBy("node").agg(F.max(F.struct("ts_us", "ok")).alias("_p"))
+    both = members.join(last, "node", "left")
+    counts = F.col("_p").isNotNull() & ~F.col("state").isin("leaving", "down")
+    state = F.when(counts, F.when(F.col("_p.ok"), "healthy").otherwise("unhealthy")).otherwise(F.col("state"))
+    return both.select("node", state.alias("state"), F.when(counts, F.col("_p.ts_us")).otherwise(F.col("last_seen")).alias("last_seen"))
+
+
 def latest_state(events: DataFrame, key: str = "node", order: str = "seq") -> DataFrame:
     """The last event of each node: registry and member states from a log."""
-    return events.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+    return newest(events, key, order, 1)
 
 
 def alive_only(df: DataFrame, members: DataFrame, node: str = "node") -> DataFrame:
@@ -81,10 +119,11 @@ def alive_only(df: DataFrame, members: DataFrame, node: str = "node") -> DataFra
     return df.join(up, node, "left_semi")
 
 
-def member_counts(members: DataFrame) -> DataFrame:
-    """One row: alive, suspect, dead, total."""
+def member_counts(members: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """One row: alive, suspect, dead, total; with ``hints`` also pending_hints."""
     own = [F.count_if(F.col("state") == x).alias(x) for x in ("alive", "suspect", "dead")]
-    return members.agg(*own, F.count("*").alias("total"))
+    out = members.agg(*own, F.count("*").alias("total"))
+    return out if hints is None else out.crossJoin(hints.agg(F.count("*").alias("pending_hints")))  # one row each
 
 
 def next_tokens(requests: DataFrame) -> DataFrame:
@@ -113,26 +152,70 @@ def breaker_step(state: tuple, ok: bool, ts_us: int, threshold: int, open_us: in
 CLOSED = ("closed", 0, 0, 0)
 
 
-def breaker_states(events: DataFrame, threshold: int = 5, open_us: int = 30_000_000, probes: int = 3) -> DataFrame:
-    """node, seq, state after every event (node, seq, ts_us, ok). A breaker is a
-    chain through its own events: rows stream through in order and only the
-    state is kept, however long the chain."""
-    nodes = events.select("node", "seq", "ts_us", "ok").repartition("node").sortWithinPartitions("node", "ts_us", "seq")
+def rpc_step(state: tuple, ok: bool, ts_us: int, threshold: int, open_us: int, probes: int) -> tuple:
+    """One call through a client's breaker. Times count from the last failure,
+    and a half-open breaker that is asked later than that opens again, so that
+    of calls that come seldom every other is refused. A refused call changes
+    nothing else; its state ends in a mark of the refusal."""
+    name, failures, successes, failed = state
+    late = ts_us - failed > open_us
+    if name == "open":
+        if not late:
+            return name, failures, successes, failed, False
+        name, successes = "half_open", 0
+    elif name == "half_open" and late:
+        return "open", 0, successes, failed, False
+    if ok:
+        if name == "closed":
+            return name, 0, successes, failed, True
+        return ("closed", 0, 0, failed, True) if successes + 1 >= probes else (name, failures, successes + 1, failed, True)
+    if name == "half_open":
+        return "open", 0, 0, ts_us, True
+    return ("open" if failures + 1 >= threshold else name), failures + 1, successes, ts_us, True
+
+
+def rpc_breaker_states(events: DataFrame, threshold: int = 5, open_us: int = 30_000_000, probes: int = 3) -> DataFrame:
+    """node, seq, state, allowed of every call (node, seq, ts_us, ok)."""
+
+    def call(state, ok, ts):
+        *state, allowed = rpc_step(state, ok, ts, threshold, open_us, probes)
+        return tuple(state), (state[0], allowed)
+
+    return _chains(events.select("node", "seq", "ts_us", "ok"), call, CLOSED, "state string, allowed boolean")
+
+
+def _chains(rows: DataFrame, step, first, kind: str) -> DataFrame:
+    """node, seq and what ``step`` gives of every row (node, seq, ts_us, ok). A
+    node's rows are one chain: they stream through one task in order (so a hot
+    node is one task), and only the state is held, however long the chain."""
+    ordered = rows.repartition("node").sortWithinPartitions("node", "ts_us", "seq")
+    names = [x.split()[0] for x in kind.split(", ")]
 
     def run(batches):
         import pyarrow as pa
 
-        node, state = object(), CLOSED
+        node, state = object(), first
         for b in batches:
             out = []
             for n, ts, ok in zip(*(b.column(i).to_pylist() for i in (0, 2, 3))):
                 if n != node:
-                    node, state = n, CLOSED
-                state = breaker_step(state, bool(ok), ts, threshold, open_us, probes)
-                out.append(state[0])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["node", "seq", "state"])
+                    node, state = n, first
+                state, made = step(state, bool(ok), ts)
+                out.append(made)
+            columns = [pa.array([o[i] for o in out], pa.bool_() if "boolean" in k else pa.string()) for i, k in enumerate(kind.split(", "))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["node", "seq", *names])
+
+    return ordered.mapInArrow(run, f"node string, seq long, {kind}")
+
+
+def breaker_states(events: DataFrame, threshold: int = 5, open_us: int = 30_000_000, probes: int = 3) -> DataFrame:
+    """node, seq, state after every event (node, seq, ts_us, ok)."""
+
+    def event(state, ok, ts):
+        state = breaker_step(state, ok, ts, threshold, open_us, probes)
+        return state, (state[0],)
 
-    return nodes.mapInArrow(run, "node string, seq long, state string")
+    return _chains(events.select("node", "seq", "ts_us", "ok"), event, CLOSED, "state string")
 
 
 def token_bucket(events: DataFrame, burst: int, period_us: int) -> DataFrame:
@@ -161,4 +244,16 @@ def token_bucket(events: DataFrame, burst: int, period_us: int) -> DataFrame:
 
 def sample_peers(members: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """k live peers without replacement, the same for a seed."""
-    return members.where("state = 'alive'").orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(k)
+    return members.where("state = 'alive'").orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), "node")), "node").limit(k)
+
+
+def gossip_round(members: DataFrame, fan_out: int = 2, seed: int = 42) -> DataFrame:
+    """node, peer: whom each live node talks to in a round, ``fan_out`` others
+    without replacement. Nodes lie on a circle in a random order of the round
+    and talk to those after them, so no node meets all others."""
+    place = F.row_number().over(Window.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), "node")), "node"))  # members of a cluster
+    up = members.where("state = 'alive'").select("node").distinct().withColumn("_at", place)
+    total = up.agg(F.count("*").alias("_n"))
+    own = up.crossJoin(F.broadcast(total)).withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(fan_out)))).where("_step < _n")
+    own = own.withColumn("_to", (F.col("_at") - 1 + F.col("_step")) % F.col("_n") + 1)
+    return own.join(up.select(F.col("_at").alias("_to"), F.col("node").alias("peer")), "_to").select("node", "peer")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vclock
+from ..plans.scratch import written
 
 
 def version_order(df: DataFrame) -> list[Column]:
@@ -53,13 +54,13 @@ def siblings(log: DataFrame, keys: tuple[str, ...] = ("key",), clock: str = "vcl
     entries = F.array_sort(F.map_entries(F.map_filter(F.coalesce(F.col(clock), vclock.empty()), lambda _, v: v > 0)))
     marked = log.withColumn("_form", entries)
     w = Window.partitionBy(*keys, "_form").orderBy(*version_order(log))
-    one = marked.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
-    per_node = one.select(*keys, F.col(clock).alias("_c"), F.explode("_form").alias("_e"))
-    tops = per_node.groupBy(*keys, F.col("_e.key").alias("_node")).agg(F.max("_e.value").alias("_top"))
-    holders = per_node.alias("p").join(tops.alias("t"), [F.col(f"p.{k}") == F.col(f"t.{k}") for k in keys] + [F.col("p._e.key") == F.col("t._node"), F.col("p._e.value") == F.col("t._top")])
-    champions = holders.groupBy(*[F.col(f"p.{k}").alias(k) for k in keys]).agg(F.collect_set(F.array_sort(F.map_entries("p._c"))).alias("_champions"))
-    left = _undominated(one, champions, keys, clock)
-    survivors = left.groupBy(*keys).agg(F.collect_set("_form").alias("_champions"))
+    one = written(marked.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank"), "clocks")
+    tops = one.select(*keys, F.explode("_form").alias("_e")).groupBy(*keys, F.col("_e.key").alias("_node")).agg(F.max("_e.value").alias("_top"))
+    tops = tops.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_node", "_top"))).alias("_tops"))  # as long as the nodes
+    leads = F.exists("_form", lambda e: F.element_at("_tops", e["key"]) == e["value"])
+    champions = one.select(*keys, "_form").join(tops, list(keys)).where(leads).groupBy(*keys).agg(F.collect_set("_form").alias("_champions"))
+    left = written(_undominated(one, champions, keys, clock), "undominated")
+    survivors = left.groupBy(*keys).agg(F.collect_set("_form").alias("_champions")).where(F.size("_champions") > 1)
     return _undominated(left, survivors, keys, clock).drop("_form")
 
 
@@ -79,3 +80,10 @@ def collect_garbage(log: DataFrame, now_ns: int, ttl_ns: int = 24 * 3600 * 10**9
     only over all versions of the keys, which is what it is given."""
     old = F.col("tombstone") & (F.lit(now_ns) - F.col("ts_ns") > ttl_ns)
     return winners(log).where(~F.coalesce(old, F.lit(False)))
+
+
+def merge_order(log: DataFrame) -> DataFrame:
+    """All entries as a merge reads them, by key and the newest version first,
+    with ``nth``: 1 for the entry that the merge keeps."""
+    w = Window.partitionBy("key").orderBy(*version_order(log))
+    return log.withColumn("nth", F.row_number().over(w)).orderBy("key", *version_order(log))

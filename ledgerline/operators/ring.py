@@ -1,8 +1,8 @@
 """Consistent-hash placement.
 
 A ring is a small list on the driver (nodes times virtual nodes). Each segment
-carries its owner and its whole preference list, so a key needs one lookup,
-whatever the number of replicas. Lookups are equi-joins on the leading bits of
+carries the first nodes of its preference list, as many as are asked for, so a
+key needs one lookup, and the table of a large ring stays narrow. Lookups are equi-joins on the leading bits of
 the hash, with the range as a residual: a broadcast hash join, never a nested
 loop.
 """
@@ -38,12 +38,14 @@ class Ring:
     def without_node(self, node: str) -> Ring:
         return Ring([n for n in self.nodes if n != node], self.vnodes)
 
-    def preference(self, i: int) -> list[str]:
-        """All distinct nodes clockwise from position number ``i``."""
+    def preference(self, i: int, most: int | None = None) -> list[str]:
+        """The distinct nodes clockwise from position number ``i``, the first
+        ``most`` of them."""
+        most = min(len(self.nodes), most or len(self.nodes))
         out: dict[str, None] = {}
         for j in range(len(self.positions)):
             out[self.owners[(i + j) % len(self.positions)]] = None
-            if len(out) == len(self.nodes):
+            if len(out) == most:
                 break
         return list(out)
 
@@ -51,21 +53,21 @@ class Ring:
         i = bisect_left(self.positions, ring_position_of(key)) % len(self.positions)
         return self.owners[i]
 
-    def segments(self) -> list[tuple[int, int, list[str]]]:
+    def segments(self, most: int | None = None) -> list[tuple[int, int, list[str]]]:
         """(first hash, last hash, preference list), the wrap as two segments."""
         out, low = [], 0
         for i, p in enumerate(self.positions):
-            out.append((low, p, self.preference(i)))
+            out.append((low, p, self.preference(i, most)))
             low = p + 1
         if self.positions and low < RING_SIZE:
-            out.append((low, RING_SIZE - 1, self.preference(0)))
+            out.append((low, RING_SIZE - 1, self.preference(0, most)))
         return out
 
-    def lookup(self, spark: SparkSession) -> DataFrame:
+    def lookup(self, spark: SparkSession, most: int | None = None) -> DataFrame:
         """Segments cut at the boundaries of the hash's leading bits."""
         step = RING_SIZE >> HEAD_BITS
         rows = []
-        for lo, hi, prefs in self.segments():
+        for lo, hi, prefs in self.segments(most):
             for head in range(lo // step, hi // step + 1):
                 rows.append((head, max(lo, head * step), min(hi, head * step + step - 1), prefs))
         return spark.createDataFrame(rows, "_head long, _lo long, _hi long, prefs array<string>")
@@ -79,21 +81,21 @@ class Ring:
         return spark.createDataFrame(list(zip(self.positions, self.owners)), "position long, node string")
 
 
-def with_preferences(df: DataFrame, ring: Ring, key: str = "key") -> DataFrame:
-    """``df`` with ``prefs``, all nodes in the key's clockwise order."""
+def with_preferences(df: DataFrame, ring: Ring, key: str = "key", most: int | None = None) -> DataFrame:
+    """``df`` with ``prefs``, the first ``most`` nodes in the key's clockwise order."""
     h = ring_position(F.col(key))
     own = df.withColumn("_h", h).withColumn("_head", F.shiftrightunsigned("_h", 32 - HEAD_BITS))
     # at most nodes * vnodes + 2^HEAD_BITS rows
-    return own.join(F.broadcast(ring.lookup(df.sparkSession)), ["_head"]).where("_h between _lo and _hi").drop("_h", "_head", "_lo", "_hi")
+    return own.join(F.broadcast(ring.lookup(df.sparkSession, most)), ["_head"]).where("_h between _lo and _hi").drop("_h", "_head", "_lo", "_hi")
 
 
 def owners(df: DataFrame, ring: Ring, key: str = "key") -> DataFrame:
-    return with_preferences(df, ring, key).withColumn("owner", F.element_at("prefs", 1)).drop("prefs")
+    return with_preferences(df, ring, key, 1).withColumn("owner", F.element_at("prefs", 1)).drop("prefs")
 
 
 def replicas(df: DataFrame, ring: Ring, n: int = 3, key: str = "key") -> DataFrame:
     """One row for each replica of a row: replica_index from 0, and node."""
-    prefs = with_preferences(df, ring, key)
+    prefs = with_preferences(df, ring, key, n)
     rest = [c for c in prefs.columns if c not in ("prefs", "node", "replica_index")]
     return prefs.select(*rest, F.posexplode(F.slice("prefs", 1, n)).alias("replica_index", "node"))
 

@@ -47,6 +47,16 @@ class KVTable:
         out = resolve.live(log, self.rule).orderBy(F.desc("key") if reverse else F.asc("key"))
         return out if limit is None else out.limit(limit)
 
+    def raw_scan(self, prefix: str = "") -> DataFrame:
+        """Every entry of a prefix as it was written, superseded ones and
+        tombstones too."""
+        return with_prefix(self.log, prefix)
+
+    def overlay(self, rows: DataFrame) -> KVTable:
+        """This table with unlogged writes on top: they are read like others, but
+        live only as long as the relation."""
+        return KVTable(self.log.unionByName(rows, allowMissingColumns=True), self.rule)
+
     def keys(self, prefix: str = "") -> DataFrame:
         return self.scan(prefix).select("key")
 
@@ -103,11 +113,22 @@ class KVTable:
         ranges and joined by rank, as a window over all keys would be one task."""
         from .merkle import global_rank
 
-        own = global_rank(resolve.live(with_prefix(self.log, prefix), self.rule).select("key"))
+        own = global_rank(self.log_keys(prefix))
         before = own.select((F.col("rank") + 1).alias("rank"), F.col("key").alias("before"))
         after = own.select((F.col("rank") - 1).alias("rank"), F.col("key").alias("after"))
         return own.join(before, "rank", "left").join(after, "rank", "left").select("key", "before", "after")
 
+    def log_keys(self, prefix: str = "") -> DataFrame:
+        return resolve.live(with_prefix(self.log, prefix), self.rule).select("key")
+
+    def positions(self, prefix: str = "") -> DataFrame:
+        """key, pos, total, has_next: where a cursor stands at each live key."""
+        from .merkle import global_rank
+
+        own = global_rank(self.log_keys(prefix), name="pos")
+        total = own.count()
+        return own.select("key", "pos", F.lit(total).cast("long").alias("total"), (F.col("pos") + 1 < total).alias("has_next"))
+
     def pages(self, size: int, prefix: str = "") -> Iterator[list]:
         """Lists of at most ``size`` entries by keyset pagination."""
         after = None

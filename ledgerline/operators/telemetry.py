@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.percentiles import percentiles
+
 #: Upper bounds of latency buckets in seconds (fixed values).
-LATENCY_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 5.0, 10.0)
+LATENCY_BOUNDS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+#: Rows of a key are ordered by slices of time of this length, then stitched.
+SLICE_US = 3_600_000_000
 
 
 def per_period(events: DataFrame, period_us: int, *labels: str) -> DataFrame:
@@ -14,23 +18,53 @@ def per_period(events: DataFrame, period_us: int, *labels: str) -> DataFrame:
     return events.groupBy(F.floor(F.col("ts_us") / period_us).alias("period"), *labels).agg(F.count("*").alias("n"))
 
 
+def with_previous(df: DataFrame, keys: list[str], columns: list[str], order: str = "ts_us", slice_us: int = SLICE_US) -> DataFrame:
+    """``df`` with _before: a struct of ``columns`` of the row before it in its
+    key's order, or null. Slices of time are ordered apart; the first row of a
+    slice finds the last of an earlier one in a table of the slices' ends, so a
+    key with most of the rows is many small tasks."""
+    sliced = df.withColumns({"_slice": F.floor(F.col(order) / slice_us), "_own": F.struct(*[F.col(c) for c in columns])})
+    w = Window.partitionBy(*keys, "_slice").orderBy(order)
+    within = sliced.withColumn("_before", F.lag("_own").over(w))
+    ends = sliced.groupBy(*keys, "_slice").agg(F.max_by("_own", order).alias("_last"))  # one row for each slice
+    ends = ends.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))).drop("_last")
+    ends = ends.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_eslice"), "_carried")
+    same = F.col("_slice") == F.col("_eslice")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_e{i}"))
+    joined = within.join(ends, same, "left")
+    return joined.select(*df.columns, F.coalesce("_before", "_carried").alias("_before"))
+
+
+def increases(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ts_us, _delta, _dt: the increase of a counter (ts_us, value) since
+    its sample before. After a reset it is taken to have started from zero."""
+    own = with_previous(samples, keys, ["value", "ts_us"]).where("_before is not null")
+    delta = F.when(F.col("value") < F.col("_before.value"), F.col("value")).otherwise(F.col("value") - F.col("_before.value"))
+    return own.select(*keys, "ts_us", delta.alias("_delta"), (F.col("ts_us") - F.col("_before.ts_us")).alias("_dt"))
+
+
 def counter_rate(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Increase per second between a counter's samples (ts_us, value). After a
-    reset the counter is taken to have started from zero."""
-    w = Window.partitionBy(*keys).orderBy("ts_us")
-    own = samples.withColumns({"_v": F.lag("value").over(w), "_t": F.lag("ts_us").over(w)}).where("_v is not null")
-    delta = F.when(F.col("value") < F.col("_v"), F.col("value")).otherwise(F.col("value") - F.col("_v"))
-    return own.select(*keys, "ts_us", (delta * 1e6 / (F.col("ts_us") - F.col("_t"))).alias("rate"))
+    """Increase per second between a counter's samples (ts_us, value)."""
+    return increases(samples, keys).select(*keys, "ts_us", (F.col("_delta") * 1e6 / F.col("_dt")).alias("rate"))
 
 
 def summed_rate(samples: DataFrame, series: list[str], by: list[str], period_us: int) -> DataFrame:
     """period, by, rate: the increase of all counters of a label set over each
     period, per second. Resets are handled for each series first."""
-    own = counter_rate(samples, series)
-    w = Window.partitionBy(*series).orderBy("ts_us")
-    span = samples.withColumn("_t", F.lag("ts_us").over(w)).where("_t is not null").select(*series, "ts_us", (F.col("ts_us") - F.col("_t")).alias("_dt"))
-    rows = own.join(span, [*series, "ts_us"]).withColumn("period", F.floor(F.col("ts_us") / period_us))
-    return rows.groupBy("period", *by).agg((F.sum(F.col("rate") * F.col("_dt")) / period_us).alias("rate"))
+    rows = increases(samples, series).withColumn("period", F.floor(F.col("ts_us") / period_us))
+    return rows.groupBy("period", *by).agg((F.sum(F.col("_delta")) * 1e6 / period_us).alias("rate"))
+
+
+def windowed_rate(samples: DataFrame, series: list[str], window_us: int, step_us: int) -> DataFrame:
+    """series, at_us, rate: at each multiple of ``step_us`` that has increases in
+    the ``window_us`` before it (its end included), their sum per second. Every
+    step is added to the evaluations whose windows hold it; ``window_us`` is a
+    multiple of ``step_us``."""
+    step = F.ceil(F.col("ts_us") / step_us)
+    steps = increases(samples, series).groupBy(*series, step.alias("_step")).agg(F.sum("_delta").alias("_delta"))
+    ahead = F.explode(F.sequence(F.col("_step"), F.col("_step") + (window_us // step_us - 1))).alias("_at")
+    return steps.select(*series, "_delta", ahead).groupBy(*series, (F.col("_at") * step_us).alias("at_us")).agg((F.sum("_delta") * 1e6 / window_us).alias("rate"))
 
 
 def bucket_counts(events: DataFrame, value: str, bounds: tuple[float, ...], *labels: str) -> DataFrame:
@@ -75,15 +109,38 @@ def burn_rate(requests: DataFrame, slot_us: int, short: int, long: int, budget:
     return sums.where("own = 1").select(F.col("at").alias("slot"), (F.col("es") / F.col("ns") / F.lit(budget)).alias("short_burn"), (F.col("el") / F.col("nl") / F.lit(budget)).alias("long_burn"))
 
 
-def hold_down(evaluations: DataFrame, hold_us: int, keys: list[str]) -> DataFrame:
+def hold_down(evaluations: DataFrame, hold_us: int, keys: list[str], slice_us: int = SLICE_US) -> DataFrame:
     """Runs of evaluations (ts_us, firing) that stay true for ``hold_us`` at
-    least: keys, start_us, end_us, n. Gaps and islands."""
-    w = Window.partitionBy(*keys).orderBy("ts_us")
-    quiet = F.sum(F.when(F.col("firing"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = evaluations.withColumn("_run", quiet).where("firing").groupBy(*keys, "_run").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count("*").alias("n"))
-    return runs.where(F.col("end_us") - F.col("start_us") >= hold_us).drop("_run")
+    least: keys, start_us, end_us, n. Gaps and islands in slices of time; runs
+    that reach the edge of their slice, two for each slice at most, are stitched."""
+    sliced = evaluations.select(*keys, "ts_us", F.coalesce(F.col("firing"), F.lit(False)).alias("firing")).withColumn("_slice", F.floor(F.col("ts_us") / slice_us))
+    w = Window.partitionBy(*keys, "_slice").orderBy("ts_us").rowsBetween(Window.unboundedPreceding, 0)
+    quiet = F.sum(F.when(F.col("firing"), 0).otherwise(1))
+    runs = sliced.withColumns({"_run": quiet.over(w), "_all": quiet.over(Window.partitionBy(*keys, "_slice"))})
+    # a run's own row, or the mark of a slice that is quiet somewhere: marks part what they lie between
+    own = runs.groupBy(*keys, "_slice", "_run", "_all").agg(F.min(F.when(F.col("firing"), F.col("ts_us"))).alias("start_us"), F.max(F.when(F.col("firing"), F.col("ts_us"))).alias("end_us"), F.count_if("firing").alias("n"))
+    first, last = F.col("_run") == 0, F.col("_run") == F.col("_all")
+    inner = own.where(~first & ~last & (F.col("n") > 0)).select(*keys, "start_us", "end_us", "n")
+    edge = own.where(first | last)
+    by_key = Window.partitionBy(*keys).orderBy("_slice", "_run")
+    before = F.lag(last & (F.col("n") > 0)).over(by_key)
+    joins = F.coalesce(before, F.lit(False)) & first & (F.col("n") > 0)
+    island = F.sum(F.when(F.col("_joins"), 0).otherwise(1)).over(by_key.rowsBetween(Window.unboundedPreceding, 0))
+    stitched = edge.withColumn("_joins", joins).withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n"))
+    both = inner.unionByName(stitched.drop("_island"))
+    return both.where((F.col("n") > 0) & (F.col("end_us") - F.col("start_us") >= hold_us))
 
 
 def latency_summary(ops: DataFrame, *labels: str) -> DataFrame:
     """labels, n, errors, avg_us, min_us, max_us of benchmark operations."""
     return ops.groupBy(*labels).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), F.avg("latency_us").alias("avg_us"), F.min("latency_us").alias("min_us"), F.max("latency_us").alias("max_us"))
+
+
+def latency_report(ops: DataFrame, *labels: str) -> DataFrame:
+    """labels, ops, errors, avg_us, p50_us, p95_us, p99_us, p999_us, max_us and
+    min_us of operations (ok, latency_us): one row for each label set. Operations
+    without a latency count, but have no part in the figures."""
+    figures = {"p50_us": 0.5, "p95_us": 0.95, "p99_us": 0.99, "p999_us": 0.999}
+    ranked = percentiles(ops, list(labels), "latency_us", figures, "ycsb").drop("n")
+    sums = ops.groupBy(*labels).agg(F.count("*").alias("ops"), F.count_if(~F.col("ok")).alias("errors"), F.avg("latency_us").alias("avg_us"), F.max("latency_us").alias("max_us"), F.min("latency_us").alias("min_us"))
+    return sums.join(ranked, list(labels), "left").select(*labels, "ops", "errors", "avg_us", *figures, "max_us", "min_us")

@@ -132,11 +132,10 @@ def kv_batch_dedup(spark, d):
     return mutate.coalesce_writes(rows.withColumn("seq", F.struct("version", "ship_us", "l_partkey"))).drop("seq")
 
 
-@query(f"{BASE} SELECT key, (SELECT max(version) FROM entries) + 1 AS version, value || '|rmw' AS value FROM live WHERE key LIKE 'user:1%'")
+@query(f"{BASE} SELECT key, (SELECT max(version) FROM entries) + 1 AS version, value || '|rmw' AS value FROM live")
 def kv_rmw(spark, d):
     log = fx.entries(spark, d)
-    wanted = log.where(F.col("key").startswith("user:1")).select("key")
-    out = mutate.read_modify_write(log, wanted, lambda v: F.concat(v, F.lit("|rmw")), "node-1", fx.NOW_NS)
+    out = mutate.read_modify_write(log, log.select("key"), lambda v: F.concat(v, F.lit("|rmw")), "node-1", fx.NOW_NS)
     return out.select("key", "version", "value")
 
 
@@ -191,9 +190,11 @@ def vc_siblings(spark, d):
     return resolve.siblings(fx.clocked(spark, d, local=True)).select("key", "node", "version")
 
 
-@query(f"{BASE} SELECT key, node, version FROM winners")
+@query(f"WITH {fx.ENTRIES}, back AS (SELECT *, 1000000000 - version AS behind FROM entries) SELECT key, node, behind AS version FROM back QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
 def vc_causal_winner(spark, d):
-    return resolve.winners(fx.clocked(spark, d), "causal").select("key", "node", "version")
+    """Clocks say which entry is the last, versions that run backwards the first."""
+    back = fx.clocked(spark, d).withColumn("version", 1_000_000_000 - F.col("version"))
+    return resolve.winners(back, "causal").select("key", "node", "version")
 
 
 # placement
@@ -442,11 +443,13 @@ def phi_suspicion(spark, d):
     return out.select("node", "n_intervals", F.round("mean_us", 3).alias("mean_us"), F.round("phi", 6).alias("phi"), "dead")
 
 
-@query(f"""WITH {_BEATS}, r AS (SELECT node, count(*) AS n, min(ts_us) AS lo, max(ts_us) AS hi FROM beats WHERE ts_us >= {_NOW_US} - 864000000000 GROUP BY node)
-SELECT node, n, CASE WHEN n > 1 AND hi > lo THEN round(({_NOW_US} - hi) / ((hi - lo) / (n - 1)::DOUBLE), 6) END AS ratio FROM r""")
+@query(f"""WITH {_BEATS}, l AS (SELECT *, max(ts_us) OVER (PARTITION BY node) AS hi FROM beats), r AS (SELECT node, hi, count(*) AS n, min(ts_us) AS lo FROM l WHERE ts_us >= hi - 86400000000 GROUP BY node, hi),
+k AS (SELECT 'node-' || i AS node FROM range(7) t(i)), p AS (SELECT node, n, CASE WHEN n < 3 OR (hi - lo) * 1000 // (n - 1) <= 0 THEN 0 ELSE ({_NOW_US} - hi) * 1000.0::DOUBLE / ((hi - lo) * 1000 // (n - 1)) END AS ratio FROM r)
+SELECT k.node, coalesce(n, 0) AS n, round(coalesce(ratio, 9.0::DOUBLE), 6) AS ratio, coalesce(ratio, 9.0::DOUBLE) < 8 AS available FROM k LEFT JOIN p ON k.node = p.node""")
 def ratio_suspicion(spark, d):
-    out = health.ratio_suspicion(fx.heartbeats(spark, d), _NOW_US, 864_000_000_000)
-    return out.select("node", "n", F.round("ratio", 6).alias("ratio"))
+    known = spark.range(7).select(F.concat(F.lit("node-"), "id").alias("node"))
+    out = health.ratio_suspicion(fx.heartbeats(spark, d), _NOW_US, 86_400_000_000, known)
+    return out.select("node", "n", F.round("ratio", 6).alias("ratio"), "available")
 
 
 @query(f"""WITH {_BEATS}, l AS (SELECT node, latency_ms FROM beats WHERE latency_ms IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node ORDER BY seq DESC) <= 100)
@@ -507,9 +510,9 @@ def live_by_owner(spark, d):
 # more reads and summaries
 
 
-@query(f"{BASE} SELECT key, lag(key) OVER (ORDER BY key) AS before, lead(key) OVER (ORDER BY key) AS after FROM live WHERE key LIKE 'user:1%'")
+@query(f"{BASE} SELECT key, lag(key) OVER (ORDER BY key) AS before, lead(key) OVER (ORDER BY key) AS after FROM live")
 def kv_neighbours(spark, d):
-    return kv(spark, d).neighbours("user:1")
+    return kv(spark, d).neighbours()
 
 
 @query(f"{BASE} SELECT key, version FROM live WHERE key < 'user:5' ORDER BY key DESC LIMIT 7")
@@ -562,13 +565,15 @@ def heartbeat_intervals(spark, d):
     return health.latest_intervals(fx.heartbeats(spark, d)).select("node", "ts_us", "gap_us")
 
 
-@query("SELECT event_id AS seq, event_id // 100 = 3 AS valid FROM events")
+@query("""WITH t AS (SELECT event_id AS seq, event_id // 100 AS epoch, row_number() OVER (PARTITION BY event_id // 100 ORDER BY event_id) AS sequence FROM events)
+SELECT seq, epoch, sequence, epoch = (SELECT max(epoch) FROM t WHERE sequence = 1) AS valid FROM t""")
 def fencing_tokens(spark, d):
     e = fx.timed_events(spark, d).select(F.col("event_id").alias("seq"), F.expr("event_id div 100").alias("epoch"))
-    return e.select("seq", quorum.token_valid("epoch", 3).alias("valid"))
+    now = e.agg(F.max("epoch")).first()[0]
+    return health.next_tokens(e).select("seq", "epoch", "sequence", quorum.token_valid("epoch", now).alias("valid"))
 
 
-@query(f"""SELECT operation, le, count(*) FILTER (value / 1000.0::DOUBLE <= le) AS n FROM (SELECT event_type AS operation, value FROM events WHERE value IS NOT NULL), (VALUES {", ".join(f"({b}::DOUBLE)" for b in telemetry.LATENCY_BOUNDS)}, ('inf'::DOUBLE)) v(le) GROUP BY ALL""")
+@query(f"""SELECT operation, le, count(*) FILTER (value / 1000.0::DOUBLE <= le) AS n FROM (SELECT event_type AS operation, value FROM events WHERE value IS NOT NULL), (SELECT unnest([0.001::DOUBLE, 0.005, 0.01, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 'inf']) AS le) v GROUP BY ALL""")
 def latency_buckets(spark, d):
     r = fx.requests(spark, d).withColumn("s", F.col("latency_ms") / 1000.0)
     return telemetry.bucket_counts(r, "s", telemetry.LATENCY_BOUNDS, "operation")

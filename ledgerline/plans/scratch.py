@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -23,3 +23,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         own = spark.sparkContext.applicationId
         root = _own[own] = _own.get(own) or "file://" + tempfile.mkdtemp(prefix="ledgerline-")
     return f"{root.rstrip('/')}/ledgerline/{name}-{uuid.uuid4().hex}"
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__``... that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, whatever
+    reads it, and safe from lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

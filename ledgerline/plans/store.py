@@ -11,25 +11,30 @@ there. All paths go through Spark and Hadoop, so any file system works.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ENTRY
-from ..operators import resolve
+from ..operators import mutate, resolve
 from ..operators.table import KVTable
 
 _DDL = ENTRY
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """``ignore_corrupt`` reads past files that can't be read, which else fail."""
+
+    def __init__(self, spark: SparkSession, root: str, ignore_corrupt: bool = False):
+        self.spark, self.root, self.ignore_corrupt = spark, root.rstrip("/"), ignore_corrupt
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def _numbers(self, kind: str, name: str) -> list[int]:
         """Numbers of the complete directories root/kind/name=N."""
         jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, at = self._fs(f"{self.root}/{kind}")
         if not fs.exists(at):
             return []
         found = []
@@ -50,13 +55,38 @@ class Store:
         epoch = max([0, *self.epochs(), *self.snapshots()]) + 1
         have = set(rows.columns)
         full = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in ENTRY])
-        full.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.root}/log/epoch={epoch}")
+        seen = Observation()
+        path = f"{self.root}/log/epoch={epoch}"
+        full.observe(seen, F.max("version").alias("last")).write.mode("errorifexists").option("compression", "zstd").parquet(path)
+        self._note(path, max(seen.get["last"] or 0, self.last_version(epoch)))
         return epoch
 
+    def _note(self, path: str, last: int) -> None:
+        fs, at = self._fs(f"{path}/_last_version")
+        out = fs.create(at, True)
+        out.writeLong(last)
+        out.close()
+
+    def last_version(self, before: int | None = None) -> int:
+        """The greatest version ever written (before an epoch), noted beside the
+        newest epoch or snapshot; where an older writer left no note, the log is
+        asked."""
+        tops = [(e, f"{self.root}/log/epoch={e}") for e in self.epochs()] + [(s, f"{self.root}/snapshot/upto={s}") for s in self.snapshots()]
+        tops = [t for t in tops if before is None or t[0] < before]
+        if not tops:
+            return 0
+        fs, at = self._fs(f"{max(tops)[1]}/_last_version")
+        if not fs.exists(at):
+            return self.entries().agg(F.max("version")).first()[0] or 0
+        inp = fs.open(at)
+        last = inp.readLong()
+        inp.close()
+        return last
+
     def _read(self, *paths: str) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], ENTRY)
-        return self.spark.read.schema(ENTRY).parquet(*paths)
+        return self.spark.read.schema(ENTRY).option("ignoreCorruptFiles", str(self.ignore_corrupt).lower()).parquet(*paths)
 
     def entries(self, since_epoch: int | None = None) -> DataFrame:
         """Everything a read must see, or the raw epochs after ``since_epoch``."""
@@ -80,19 +110,39 @@ class Store:
         state = resolve.collect_garbage(self.entries(), now_ns, ttl_ns)
         out = state.repartitionByRange(parts, "key").sortWithinPartitions("key").write.option("compression", "zstd")
         out = out.option("parquet.bloom.filter.enabled#key", "true")
-        out.mode("errorifexists").parquet(f"{self.root}/snapshot/upto={upto}")
+        last, path = self.last_version(), f"{self.root}/snapshot/upto={upto}"
+        out.mode("errorifexists").parquet(path)
+        self._note(path, last)
         return upto
 
     def truncate(self) -> int:
         """Delete epochs and snapshots that the newest snapshot replaces."""
         snap = max(self.snapshots(), default=0)
-        jvm = self.spark._jvm
         gone = [f"log/epoch={e}" for e in self.epochs() if e <= snap] + [f"snapshot/upto={s}" for s in self.snapshots() if s < snap]
         for name in gone:
-            at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            fs, at = self._fs(f"{self.root}/{name}")
+            fs.delete(at, True)
         return len(gone)
 
+    def size(self) -> int:
+        """Bytes on disk that a read may touch."""
+        snap = max(self.snapshots(), default=0)
+        names = ([f"snapshot/upto={snap}"] if snap else []) + [f"log/epoch={e}" for e in self.epochs() if e > snap]
+        return sum(fs.getContentSummary(at).getLength() for fs, at in (self._fs(f"{self.root}/{n}") for n in names))
+
+    def reset(self) -> None:
+        """Forget everything: log and snapshots are deleted."""
+        for kind in ("log", "snapshot"):
+            fs, at = self._fs(f"{self.root}/{kind}")
+            fs.delete(at, True)
+
+    def put(self, key: str, value: bytes, node: str, now_ns: int, clock: dict[str, int] | None = None) -> int:
+        return self.append(mutate.put(self.entries(), key, value, node, now_ns, clock, self.last_version()))
+
+    def delete(self, key: str, node: str, now_ns: int, strict: bool = False) -> int:
+        keys = self.spark.createDataFrame([(key,)], "key string")
+        return self.append(mutate.delete(self.entries(), keys, node, now_ns, strict, self.last_version())[0])
+
     def stats(self) -> DataFrame:
         """level (log or snapshot), files, entries, bytes of keys and values."""
         size = (F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long")

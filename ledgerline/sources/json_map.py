@@ -26,3 +26,9 @@ def read_import_document(spark: SparkSession, path: str) -> DataFrame:
     """The same for files that hold one object over many lines."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m")).where("m is not null")
     return whole.select(F.explode("m").alias("key", "value")).withColumn("value", F.col("value").cast("binary"))
+
+
+def bad_lines(spark: SparkSession, path: str) -> int:
+    """Lines that read_import() drops: not blank, and not an object of strings."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.where(F.from_json("value", "map<string,string>").isNull()).count()

@@ -6,7 +6,7 @@ A record is {"op": "PUT" or "DEL", "key", "value" (base64), "ver", "ts" (ns),
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "op string, key string, value string, ver long, ts long, vc map<string,bigint>"
@@ -38,7 +38,42 @@ def max_version(spark: SparkSession, path: str) -> int:
 
 
 def compact(spark: SparkSession, path: str, to: str, after_version: int = -1) -> int:
-    """Rewrite the records above a version; how many there were."""
-    rows = replay(spark, path).where(F.col("version") > after_version)
-    append(rows, to)
-    return count(spark, to)
+    """Write the records above a version to a new log; how many were written."""
+    return _written(replay(spark, path).where(F.col("version") > after_version), to)
+
+
+def truncate_before(spark: SparkSession, path: str, to: str, version: int) -> int:
+    """Write the records from a version on to a new log; how many were written."""
+    return compact(spark, path, to, version - 1)
+
+
+def newest_only(spark: SparkSession, path: str, to: str) -> int:
+    """Write the newest record of each key to a new log; how many there are."""
+    from ..operators.resolve import winners
+
+    return _written(winners(replay(spark, path)), to)
+
+
+def _written(rows: DataFrame, to: str) -> int:
+    seen = Observation()
+    append(rows.observe(seen, F.count("*").alias("n")), to)
+    return seen.get["n"]
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a log on disk."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def reset(spark: SparkSession, path: str) -> None:
+    """Empty a log."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at, True)
+    fs.mkdirs(at)
+
+
+def bad_lines(spark: SparkSession, path: str) -> int:
+    """Lines that replay() drops."""
+    return spark.read.text(path).where(F.trim("value") != "").count() - count(spark, path)

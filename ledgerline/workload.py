@@ -42,8 +42,9 @@ PROFILES = {
 
 
 def uniform(seed: int, purpose: str, i: Column) -> Column:
-    """A number in [0, 1) from 53 bits of a hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(purpose), i), 11) / F.lit(float(1 << 53))
+    """A number in [0, 1) from 52 bits of a hash that any engine has."""
+    h = F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit(purpose), i.cast("string")))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def zeta(spark: SparkSession, n: int, theta: float = THETA) -> float:

@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-import ledgerline.streaming.queries  # noqa: F401  registers its queries
+import ledgerline.plans.ops_queries  # noqa: F401  these register their queries
+import ledgerline.plans.write_queries  # noqa: F401
+import ledgerline.streaming.queries  # noqa: F401
 from ledgerline.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

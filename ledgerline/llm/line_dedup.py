@@ -26,9 +26,10 @@ are no templates and stay.
 
 Scale: lines are parsed once and only 128-bit hashes and document keys of them
 move. Line texts move for leaves with several different lines in enough
-documents, each distinct line once for a task; beyond some LEAF_SLOTS such leaves
-the broadcast no longer holds lines back, and the distinct lines of every leaf
-move. Texts move once, to meet the lines that go. What a join needs of a leaf, a
+documents, each distinct line once for a task, from the documents that hold one
+first; beyond some LEAF_SLOTS such leaves the broadcasts no longer hold texts and
+lines back: all are parsed again and the distinct lines of every leaf move.
+Where the template of a whole leaf settles a line, its groups are left out. Texts move once, to meet the lines that go. What a join needs of a leaf, a
 group or a line is written first, so that Spark may split the other side where
 one of them is hot.
 
@@ -52,7 +53,8 @@ def _masked(line: Column) -> Column:
     """A line as its tokens behind single blanks, those with an ASCII digit as
     ``<*>``. Lines without digits and odd blanks, which are most, are left."""
     plain = F.trim(F.regexp_replace(line, "[ \\t\\x0B\\f\\r]+", " "))
-    return F.when(line.rlike("[0-9\\t\\x0B\\f\\r]|  "), F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(F.trim(line))
+    odd = line.contains("  ") | line.rlike("[0-9\\t\\x0B\\f\\r]")
+    return F.when(odd, F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(F.trim(line))
 
 
 def _tokens(m: Column) -> Column:
@@ -68,61 +70,82 @@ def _hashed(lines: DataFrame, min_tokens: int, depth: int) -> DataFrame:
     return own.withColumns({"h1": F.xxhash64("m"), "h2": F.xxhash64(F.lit(1), "m"), "leaf1": F.xxhash64("n", path), "leaf2": F.xxhash64(F.lit(1), "n", path)})
 
 
-def _grouped(rows: DataFrame, tail: Column, least: int) -> DataFrame:
-    """The lines of each leaf (grp 0), and again those of each group that shares
-    a token at a position, with the group's pairs of line and document. Groups of
-    the same lines are one: they are known by the sums of the lines' hashes."""
+def _groups(rows: DataFrame, settled: DataFrame, tail: Column, least: int) -> DataFrame:
+    """The lines of each group of a leaf that share a token at a position, with
+    the group's pairs of line and document, if the group has a line that isn't
+    ``settled``. Groups of the same lines are one: they are known by the sums of
+    the lines' hashes."""
     wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
-    at = ["leaf1", "leaf2", "pos", "token"]
-    spread = rows.select("leaf1", "leaf2", "h1", "h2", "docs", F.posexplode(tail).alias("pos", "token"))
-    shared = spread.groupBy(*at).agg(F.sum("docs").alias("pairs"), F.count("*").alias("kinds"), wide("h1").alias("s1"), wide("h2").alias("s2"))
+    at, line = ["leaf1", "leaf2", "pos", "token"], ["h1", "h2"]
+    left = cut(rows.join(settled, line, "left_anti").drop("pairs"), "unsettled")
+    rows = rows.join(left.select("leaf1", "leaf2").distinct(), ["leaf1", "leaf2"], "left_semi")
+    spread = lambda r: r.select("leaf1", "leaf2", "h1", "h2", "docs", F.posexplode(tail).alias("pos", "token"))
+    asked = cut(spread(left).select(*at).distinct(), "asked")
+    near = cut(spread(rows).join(asked, at, "left_semi"), "spread")
+    shared = near.groupBy(*at).agg(F.sum("docs").alias("pairs"), F.count("*").alias("kinds"), wide("h1").alias("s1"), wide("h2").alias("s2"))
     shared = shared.where((F.col("kinds") > 1) & (F.col("pairs") >= least)).select(*at, "pairs", F.xxhash64("s1", "s2", "kinds").alias("grp"))
-    held = spread.join(cut(shared, "shared"), at).select("leaf1", "leaf2", "h1", "h2", "pairs", "grp").distinct()
-    more = rows.drop("pairs").join(held, ["leaf1", "leaf2", "h1", "h2"])
-    return rows.withColumn("grp", F.lit(0).cast("long")).unionByName(more)
+    held = near.join(cut(shared, "shared"), at).select("leaf1", "leaf2", *line, "pairs", "grp").distinct()
+    return rows.drop("pairs").join(held, ["leaf1", "leaf2", *line])
 
 
-#: Slots of the broadcast that keeps most lines out of the search for variants;
-#: its size is fixed, and what passes it wrongly meets the exact join.
+#: Slots of the broadcasts that keep most texts and lines out of the search for
+#: variants; their size is fixed, and what passes wrongly meets the exact join.
 LEAF_SLOTS = 1 << 18
 
 
+def _templates(rows: DataFrame, owners: DataFrame, tail: Column, depth: int, least: int, constant: float, similarity: float) -> DataFrame:
+    """h1, h2, leaf1, leaf2, first: the lines that meet the generalised template
+    of a group (leaf1, leaf2, grp) which recurs. ``owners`` are the documents of
+    the lines that are in fewer than ``least``."""
+    group = ["leaf1", "leaf2", "grp"]
+    tokens = rows.select(*group, "n", "pairs", "docs", F.posexplode(tail).alias("pos", "token")).groupBy(*group, "n", "pairs", "pos", "token").agg(F.sum("docs").alias("hits"))
+    kept = tokens.where(F.col("hits") >= constant * F.col("pairs")).groupBy(*group, "n", "pos").agg(F.min(F.struct((-F.col("hits")).alias("least"), "token")).alias("best"))
+    form = kept.groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("pos", "best.token"))).alias("_at"))
+    # no line can meet a template with fewer constant positions
+    form = form.where(F.size("_at") >= similarity * (F.col("n") - depth))
+    form = form.select(*group, F.transform(F.sequence(F.lit(0), F.col("n") - depth - 1), lambda i: F.element_at("_at", i)).alias("form"))
+    alike = F.size(F.filter(F.zip_with(tail, "form", lambda t, f: F.coalesce(t == f, F.lit(False))), lambda b: b))
+    met = rows.join(cut(form, "forms"), group).where(alike >= similarity * (F.col("n") - depth))
+    met = cut(met.select("h1", "h2", *group, "docs", "first"), "met")
+    heads = cut(met.groupBy(*group).agg(F.max("docs").alias("most"), F.min("first").alias("lead")), "heads")
+    # a line in enough documents settles its group; the lines of other groups are in few, which are counted
+    doubt = met.join(heads.where(F.col("most") < least).select(*group), group, "left_semi").select("h1", "h2", *group)
+    enough = owners.join(doubt, ["h1", "h2"]).select(*group, "doc").distinct().groupBy(*group).count().where(F.col("count") >= least).select(*group)
+    sure = heads.where(F.col("most") >= least).select(*group).unionAll(enough)
+    return met.join(cut(heads.join(sure, group).select(*group, "lead"), "general"), group).select("h1", "h2", "leaf1", "leaf2", F.col("lead").alias("first"))
+
+
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_generalised: int = 3, depth: int = 4, min_tokens: int = 1, constant: float = 0.5, similarity: float = 0.6, counts: tuple[str, str] = ("_n_lines", "_n_dropped")) -> DataFrame:
     """The columns of ``df`` with the text cleared of recurring lines, and
     the numbers of its lines and of those dropped (long), named by ``counts``."""
     id_, text = named(id_col, text_col)
     key = [id_.alias("_k"), F.xxhash64(text).alias("_t")]
     doc = F.struct("_k", "_t").alias("doc")
-    texts = df.where(text.isNotNull()).select(*key, F.split(text, "\n").alias("l"))
+    texts = df.where(text.isNotNull()).select(*key, text.alias("text"))
     parsed = lambda ms: F.transform(ms, lambda m: F.struct(m.alias("m"), _tokens(m).alias("n")))
-    lines = _hashed(texts.select(doc, F.posexplode(parsed(F.transform("l", _masked))).alias("p", "x")), max(1, min_tokens), depth)
-    slim = cut(lines.drop("m"), "lines")
+    lines_of = lambda t: _hashed(t.select(doc, F.posexplode(parsed(F.transform(F.split("text", "\n"), _masked))).alias("p", "x")), max(1, min_tokens), depth)
+    slim = cut(lines_of(texts).drop("m"), "lines")
     once = slim.groupBy("h1", "h2", "leaf1", "leaf2", "n", "doc").agg(F.lit(1).alias("one"))  # a document's lines are in one task
     masked = cut(once.groupBy("h1", "h2", "leaf1", "leaf2", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("first")), "templates")
 
     # leaves in which different lines meet, with positions beyond the leading tokens
-    mixed = cut(masked.where(F.col("n") > depth).groupBy("leaf1", "leaf2").agg(F.sum("docs").alias("pairs"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("pairs") >= min_generalised)).drop("kinds"), "mixed")
-    inner = cut(masked.join(mixed, ["leaf1", "leaf2"]), "inner")
+    mixed = cut(masked.where(F.col("n") > depth).groupBy("leaf1", "leaf2").agg(F.sum("docs").alias("pairs"), F.count("*").alias("kinds"), F.min("first").alias("earliest")).where((F.col("kinds") > 1) & (F.col("pairs") >= min_generalised)).drop("kinds"), "mixed")
+    inner = cut(masked.join(mixed.drop("earliest"), ["leaf1", "leaf2"]), "inner")
     slot = F.pmod(F.col("leaf1"), F.lit(LEAF_SLOTS)).alias("slot")
     some = F.broadcast(mixed.select(slot).distinct())
-    near = lines.select("h1", "h2", "m", slot).join(some, "slot", "left_semi").groupBy("h1", "h2").agg(F.min("m").alias("m"))
+    # the texts of these lines are read where they come first
+    place = lambda c: F.pmod(F.col(c), F.lit(LEAF_SLOTS)).alias("place")
+    holders = texts.withColumn("place", place("_t")).join(F.broadcast(inner.select(place("first._t")).distinct()), "place", "left_semi")
+    near = lines_of(holders).select("h1", "h2", "m", slot).join(some, "slot", "left_semi").groupBy("h1", "h2").agg(F.min("m").alias("m"))
     rows = cut(inner.join(near, ["h1", "h2"]), "leaves")
-    tail = F.slice(F.split("m", " "), depth + 1, F.col("n") - depth)
-    rows = cut(_grouped(rows, tail, min_generalised), "groups")
-    group = ["leaf1", "leaf2", "grp"]
-    tokens = rows.select(*group, "pairs", "docs", F.posexplode(tail).alias("pos", "token")).groupBy(*group, "pairs", "pos", "token").agg(F.sum("docs").alias("hits"))
-    kept = tokens.where(F.col("hits") >= constant * F.col("pairs")).groupBy(*group, "pos").agg(F.min(F.struct((-F.col("hits")).alias("least"), "token")).alias("best"))
-    form = cut(kept.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("pos", "best.token"))).alias("form")), "forms")
-    alike = F.size(F.filter(F.transform(tail, lambda t, i: F.coalesce(F.element_at("form", i) == t, F.lit(False))), lambda b: b))
-    met = cut(rows.join(form, group).where(alike >= similarity * (F.col("n") - depth)).select("h1", "h2", *group, "docs", "first"), "met")
-    heads = cut(met.groupBy(*group).agg(F.max("docs").alias("most"), F.min("first").alias("first")), "heads")
-    # a line in enough documents settles its group; the lines of other groups are in few, which are counted
-    open_ = met.join(heads.where(F.col("most") < min_generalised).select(*group), group, "left_semi").select("h1", "h2", *group)
     owners = slim.select("h1", "h2", "doc", slot).join(some, "slot", "left_semi").select("h1", "h2", "doc")
-    counted = owners.join(masked.where(F.col("docs") < min_generalised).select("h1", "h2"), ["h1", "h2"], "left_semi").join(open_, ["h1", "h2"])
-    enough = counted.select(*group, "doc").distinct().groupBy(*group).count().where(F.col("count") >= min_generalised).select(*group)
-    general = cut(heads.join(heads.where(F.col("most") >= min_generalised).select(*group).unionAll(enough), group).select(*group, F.col("first").alias("lead")), "general")
-    general = met.join(general, group).select("h1", "h2", F.col("lead").alias("first"))
+    owners = owners.join(masked.where(F.col("docs") < min_generalised).select("h1", "h2"), ["h1", "h2"], "left_semi")
+    tail = F.slice(F.split("m", " "), depth + 1, F.col("n") - depth)
+    found = lambda r: _templates(r, owners, tail, depth, min_generalised, constant, similarity)
+    whole = cut(found(rows.withColumn("grp", F.lit(0).cast("long"))), "whole")
+    # no group of its leaf can give an earlier place to a line that has the leaf's earliest
+    settled = whole.join(mixed.select("leaf1", "leaf2", "earliest"), ["leaf1", "leaf2"]).where(F.col("first") == F.col("earliest")).select("h1", "h2")
+    general = whole.unionAll(found(cut(_groups(rows, settled, tail, min_generalised), "groups"))).select("h1", "h2", "first")
 
     recurring = masked.where(F.col("docs") >= min_docs).select("h1", "h2", "first").unionAll(general).groupBy("h1", "h2").agg(F.min("first").alias("first"))
     recurring = cut(recurring, "recurring")  # so that Spark may split the join for a hot line

@@ -124,7 +124,10 @@ def positional_diff(a: DataFrame, b: DataFrame, key: str = "key", value: str = "
     tree is deeper, its nodes at the depth of the other's leaves are compared,
     and the other's leaves give the keys; an empty tree differs everywhere."""
     x, y = (_leaves(t, key, value) for t in (a, b))
-    m, n = (max(0, t.count() - 1).bit_length() for t in (x, y))
+    sizes = [t.count() for t in (x, y)]
+    if not all(sizes):
+        return (x if sizes[0] else y).select(F.explode("keys").alias(key))
+    m, n = ((size - 1).bit_length() for size in sizes)
     sides = []
     for t, deeper in ((x, m - n), (y, n - m)):
         if deeper > 0:

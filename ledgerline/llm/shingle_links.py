@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexed, as_bytes, cut, map_batches, mix64, runs_by_size
+from .common import Lexed, as_bytes, cut, map_batches, mix64, runs_by_size, then_released
 
 BANDS, ROWS = 20, 4
 _SALTS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
@@ -69,27 +69,37 @@ def similar_links(df: DataFrame, text_col: str = "text", shingle: int = 5, simil
     """Distinct verified links (a, b), a below b: hashes (long) of two texts."""
     own = df.select(F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("_text")).where("_text is not null")
 
-    def bands(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys, found = [], []
-        for h, s in zip(b.column(0).to_pylist(), shingle_sets(as_bytes(b.column(1)), shingle)):
-            if len(s):
-                keys += [h] * BANDS
-                found.append(buckets_of(s))
-        bucket = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bucket.view(np.int64))], ["h", "bucket"])
-
-    dealt = cut(map_batches(own, bands, "h long, bucket long"), "bands")
-    ends = dealt.groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
+    def bands(batches):
+        seen: set[int] = set()  # a task's copies of a text are one
+        for b in batches:
+            texts = as_bytes(b.column(1))
+            new = [i for i, h in enumerate(b.column(0).to_pylist()) if not (h in seen or seen.add(h))]
+            keys, found = [], []
+            for i, s in zip(new, shingle_sets([texts[i] for i in new], shingle)):
+                if len(s):
+                    keys += [b.column(0)[i].as_py()] * BANDS
+                    found.append(buckets_of(s))
+            bucket = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bucket.view(np.int64))], ["h", "bucket"])
+
+    dealt = cut(own.mapInArrow(then_released(bands), "h long, bucket long"), "bands")
+    # what a hot bucket or text is joined with is written first, so that Spark may split it
+    ends = cut(dealt.groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi"), "ends")
     met = dealt.join(ends, "bucket")
     pairs = met.select(F.col("lo").alias("a"), F.col("h").alias("b")).unionAll(met.select(F.col("h").alias("a"), F.col("hi").alias("b")))
     pairs = cut(pairs.where("a < b").distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-    texts = cut(own.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("_text").alias("_text")), "candidate_texts")
+    wanted = cut(pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct(), "wanted")
+    texts = cut(own.join(wanted, "h", "left_semi"), "candidate_copies").groupBy("h").agg(F.min("_text").alias("_text"))
+    texts = cut(texts, "candidate_texts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("_text").alias("_one")), "a").join(texts.select(F.col("h").alias("b"), F.col("_text").alias("_two")), "b")
 
     def verify(b: pa.RecordBatch) -> pa.RecordBatch:
-        one, two = (shingle_sets(as_bytes(b.column(c)), shingle) for c in (2, 3))
-        same = pa.array([jaccard(x, y) >= similarity for x, y in zip(one, two)], pa.bool_())
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(same)
+        sets = {}
+        for c in (0, 1):
+            own, texts = b.column(c).to_pylist(), b.column(c + 2)
+            first = {h: i for i, h in reversed(list(enumerate(own))) if h not in sets}
+            sets |= dict(zip(first, shingle_sets([texts[i].as_py() or b"" for i in first.values()], shingle)))
+        same = [jaccard(sets[x], sets[y]) >= similarity for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     return map_batches(both.select("a", "b", "_one", "_two"), verify, "a long, b long")

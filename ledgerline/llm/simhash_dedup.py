@@ -183,9 +183,10 @@ def components(edges: DataFrame, name: str = "star") -> DataFrame:
     before = mark(now)
     while before[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # minima are written, so that Spark may split the join for a centre with many edges
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         now = cut(small.where("u <> v").distinct(), name)
         after = mark(now)

@@ -29,7 +29,8 @@ move. Line texts move for leaves with several different lines in enough
 documents, each distinct line once for a task, from the documents that hold one
 first; beyond some LEAF_SLOTS such leaves the broadcasts no longer hold texts and
 lines back: all are parsed again and the distinct lines of every leaf move.
-Where the template of a whole leaf settles a line, its groups are left out. Texts move once, to meet the lines that go. What a join needs of a leaf, a
+Where the template of a whole leaf takes a line, the groups of only such lines
+are left out. Texts move once, to meet the lines that go. What a join needs of a leaf, a
 group or a line is written first, so that Spark may split the other side where
 one of them is hot.
 
@@ -70,11 +71,30 @@ def _hashed(lines: DataFrame, min_tokens: int, depth: int) -> DataFrame:
     return own.withColumns({"h1": F.xxhash64("m"), "h2": F.xxhash64(F.lit(1), "m"), "leaf1": F.xxhash64("n", path), "leaf2": F.xxhash64(F.lit(1), "n", path)})
 
 
-def _groups(rows: DataFrame, settled: DataFrame, tail: Column, least: int) -> DataFrame:
+def _promising(rows: DataFrame, tail: Column, similarity: float) -> DataFrame:
+    """``rows`` without the small leaves in which no template can matter. Two
+    lines that meet one template share its tokens where both meet it, which is
+    at 2 * similarity - 1 of the positions at least; a template met by one line
+    alone says no more than the line. Chance meetings under a path end here."""
+    share = F.lit(max(0.0, 2 * similarity - 1))
+    alike = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) >= share * F.size(a)
+    small = rows.where(F.col("kinds") <= FEW_LINES)
+    met = small.groupBy("leaf1", "leaf2").agg(F.collect_list(tail).alias("t"))  # FEW_LINES at most
+    pair = F.transform("t", lambda a, i: F.exists(F.slice("t", i + 2, FEW_LINES), lambda b: alike(a, b)))
+    kept = cut(met.where(F.exists(pair, lambda e: e)).select("leaf1", "leaf2"), "promising")
+    return rows.where(F.col("kinds") > FEW_LINES).unionByName(small.join(kept, ["leaf1", "leaf2"], "left_semi")).drop("kinds")
+
+
+def _groups(rows: DataFrame, settled: DataFrame, tail: Column, depth: int, least: int, constant: float, similarity: float) -> DataFrame:
     """The lines of each group of a leaf that share a token at a position, with
-    the group's pairs of line and document, if the group has a line that isn't
-    ``settled``. Groups of the same lines are one: they are known by the sums of
-    the lines' hashes."""
+    the group's pairs of line and document, if a line that isn't ``settled`` may
+    meet its template; all other groups only repeat what is known. Groups of the same lines are one: they are known
+    by the sums of the lines' hashes.
+
+    A line that meets a template with another line shares its tokens at
+    2 * similarity - 1 of the positions. Its tokens at ``similarity`` of them must
+    each make up ``constant`` of the group's pairs, and a token has no more pairs
+    in a group than in its leaf, so a line meets none in groups beyond a size."""
     wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
     at, line = ["leaf1", "leaf2", "pos", "token"], ["h1", "h2"]
     left = cut(rows.join(settled, line, "left_anti").drop("pairs"), "unsettled")
@@ -83,11 +103,20 @@ def _groups(rows: DataFrame, settled: DataFrame, tail: Column, least: int) -> Da
     asked = cut(spread(left).select(*at).distinct(), "asked")
     near = cut(spread(rows).join(asked, at, "left_semi"), "spread")
     shared = near.groupBy(*at).agg(F.sum("docs").alias("pairs"), F.count("*").alias("kinds"), wide("h1").alias("s1"), wide("h2").alias("s2"))
-    shared = shared.where((F.col("kinds") > 1) & (F.col("pairs") >= least)).select(*at, "pairs", F.xxhash64("s1", "s2", "kinds").alias("grp"))
-    held = near.join(cut(shared, "shared"), at).select("leaf1", "leaf2", *line, "pairs", "grp").distinct()
+    shared = cut(shared.where("kinds > 1").select(*at, "pairs", F.xxhash64("s1", "s2", "kinds").alias("grp")), "shared")
+    held = cut(near.join(shared, at).select("leaf1", "leaf2", *line, "pairs", "grp"), "held")
+    places = held.groupBy(*line).agg(F.collect_list("pairs").alias("w"))  # a line's positions at most
+    t, s = F.col("n") - depth, F.size("w")
+    weights = F.sort_array(F.concat("w", F.array_repeat("docs", t - s)), asc=False)
+    most = F.element_at(weights, F.greatest(F.lit(1), F.ceil(similarity * t)).cast("int")) / F.lit(constant)
+    open_ = cut(left.join(places, line).where(s >= max(0.0, 2 * similarity - 1) * t).select(*line, most.alias("most")), "open")
+    heard = held.where(F.col("pairs") >= least).join(open_, line).where(F.col("pairs") <= F.col("most")).select("leaf1", "leaf2", "grp").distinct()
+    held = held.distinct().join(cut(heard, "heard"), ["leaf1", "leaf2", "grp"])
     return rows.drop("pairs").join(held, ["leaf1", "leaf2", *line])
 
 
+#: Lines of a leaf that are compared with each other before their tokens are dealt.
+FEW_LINES = 16
 #: Slots of the broadcasts that keep most texts and lines out of the search for
 #: variants; their size is fixed, and what passes wrongly meets the exact join.
 LEAF_SLOTS = 1 << 18
@@ -129,8 +158,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     masked = cut(once.groupBy("h1", "h2", "leaf1", "leaf2", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("first")), "templates")
 
     # leaves in which different lines meet, with positions beyond the leading tokens
-    mixed = cut(masked.where(F.col("n") > depth).groupBy("leaf1", "leaf2").agg(F.sum("docs").alias("pairs"), F.count("*").alias("kinds"), F.min("first").alias("earliest")).where((F.col("kinds") > 1) & (F.col("pairs") >= min_generalised)).drop("kinds"), "mixed")
-    inner = cut(masked.join(mixed.drop("earliest"), ["leaf1", "leaf2"]), "inner")
+    mixed = cut(masked.where(F.col("n") > depth).groupBy("leaf1", "leaf2").agg(F.sum("docs").alias("pairs"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("pairs") >= min_generalised)), "mixed")
+    inner = cut(masked.join(mixed, ["leaf1", "leaf2"]), "inner")
     slot = F.pmod(F.col("leaf1"), F.lit(LEAF_SLOTS)).alias("slot")
     some = F.broadcast(mixed.select(slot).distinct())
     # the texts of these lines are read where they come first
@@ -141,11 +170,13 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     owners = slim.select("h1", "h2", "doc", slot).join(some, "slot", "left_semi").select("h1", "h2", "doc")
     owners = owners.join(masked.where(F.col("docs") < min_generalised).select("h1", "h2"), ["h1", "h2"], "left_semi")
     tail = F.slice(F.split("m", " "), depth + 1, F.col("n") - depth)
+    # with min_docs above min_generalised one line alone may make a template that counts
+    rows = cut(_promising(rows, tail, similarity), "leaves") if min_docs <= min_generalised else rows.drop("kinds")
     found = lambda r: _templates(r, owners, tail, depth, min_generalised, constant, similarity)
     whole = cut(found(rows.withColumn("grp", F.lit(0).cast("long"))), "whole")
-    # no group of its leaf can give an earlier place to a line that has the leaf's earliest
-    settled = whole.join(mixed.select("leaf1", "leaf2", "earliest"), ["leaf1", "leaf2"]).where(F.col("first") == F.col("earliest")).select("h1", "h2")
-    general = whole.unionAll(found(cut(_groups(rows, settled, tail, min_generalised), "groups"))).select("h1", "h2", "first")
+    # a group that changes anything holds a line which the whole leaf's template doesn't take
+    settled = whole.select("h1", "h2")
+    general = whole.unionAll(found(cut(_groups(rows, settled, tail, depth, min_generalised, constant, similarity), "groups"))).select("h1", "h2", "first")
 
     recurring = masked.where(F.col("docs") >= min_docs).select("h1", "h2", "first").unionAll(general).groupBy("h1", "h2").agg(F.min("first").alias("first"))
     recurring = cut(recurring, "recurring")  # so that Spark may split the join for a hot line

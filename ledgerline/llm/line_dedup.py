@@ -85,10 +85,11 @@ def _promising(rows: DataFrame, tail: Column, similarity: float) -> DataFrame:
     return rows.where(F.col("kinds") > FEW_LINES).unionByName(small.join(kept, ["leaf1", "leaf2"], "left_semi")).drop("kinds")
 
 
-def _groups(rows: DataFrame, settled: DataFrame, tail: Column, depth: int, least: int, constant: float, similarity: float) -> DataFrame:
-    """The lines of each group of a leaf that share a token at a position, with
-    the group's pairs of line and document, if a line that isn't ``settled`` may
-    meet its template; all other groups only repeat what is known. Groups of the same lines are one: they are known
+def _groups(rows: DataFrame, settled: DataFrame, tail: Column, depth: int, least: int, constant: float, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(leaf1, leaf2, h1, h2, pairs, grp: the lines of groups; those of them for
+    which a group is kept). The lines of a leaf that share a token at a position
+    are a group, with its pairs of line and document, if a line that isn't
+    ``settled`` may meet its template; all others only repeat what is known. Groups of the same lines are one: they are known
     by the sums of the lines' hashes.
 
     A line that meets a template with another line shares its tokens at
@@ -110,9 +111,29 @@ def _groups(rows: DataFrame, settled: DataFrame, tail: Column, depth: int, least
     weights = F.sort_array(F.concat("w", F.array_repeat("docs", t - s)), asc=False)
     most = F.element_at(weights, F.greatest(F.lit(1), F.ceil(similarity * t)).cast("int")) / F.lit(constant)
     open_ = cut(left.join(places, line).where(s >= max(0.0, 2 * similarity - 1) * t).select(*line, most.alias("most")), "open")
-    heard = held.where(F.col("pairs") >= least).join(open_, line).where(F.col("pairs") <= F.col("most")).select("leaf1", "leaf2", "grp").distinct()
-    held = held.distinct().join(cut(heard, "heard"), ["leaf1", "leaf2", "grp"])
-    return rows.drop("pairs").join(held, ["leaf1", "leaf2", *line])
+    able = cut(held.where(F.col("pairs") >= least).join(open_, line).where(F.col("pairs") <= F.col("most")).select(*line, "leaf1", "leaf2", "grp", "pairs").distinct(), "able")
+    held = cut(held.distinct().join(able.select("leaf1", "leaf2", "grp").distinct(), ["leaf1", "leaf2", "grp"], "left_semi"), "members")
+    return held, able
+
+
+def _in_groups(rows: DataFrame, held: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lines of some groups, as _templates() takes them."""
+    own = held.join(groups, ["leaf1", "leaf2", "grp"], "left_semi")
+    return rows.drop("pairs").join(own, ["leaf1", "leaf2", "h1", "h2"])
+
+
+def _in_doubt(held: DataFrame, able: DataFrame, rows: DataFrame, settled: DataFrame, known: DataFrame, done: DataFrame, least: int) -> DataFrame:
+    """The groups that aren't ``done`` and may still give a line a place before
+    the one it is ``known`` to go with: those whose earliest line comes before it.
+    Lines that can't meet a group's template don't count, and it takes several
+    in enough documents."""
+    group, line = ["leaf1", "leaf2", "grp"], ["h1", "h2"]
+    rest = held.join(done, group, "left_anti").select(*group, *line)
+    may = rest.join(settled, line, "left_semi").unionByName(rest.join(able, [*group, *line], "left_semi"))
+    may = may.join(rows.select(*line, "first", "docs"), line).join(known, line, "left")
+    judged = may.groupBy(*group).agg(F.min("first").alias("early"), F.max("lead").alias("late"), F.count_if(F.col("lead").isNull()).alias("unknown"), F.count("*").alias("kinds"), F.sum("docs").alias("pairs"))
+    judged = judged.where((F.col("kinds") > 1) & (F.col("pairs") >= least))
+    return judged.where((F.col("unknown") > 0) | (F.col("late") > F.col("early"))).select(*group)
 
 
 #: Lines of a leaf that are compared with each other before their tokens are dealt.
@@ -147,6 +168,8 @@ def _templates(rows: DataFrame, owners: DataFrame, tail: Column, depth: int, lea
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_generalised: int = 3, depth: int = 4, min_tokens: int = 1, constant: float = 0.5, similarity: float = 0.6, counts: tuple[str, str] = ("_n_lines", "_n_dropped")) -> DataFrame:
     """The columns of ``df`` with the text cleared of recurring lines, and
     the numbers of its lines and of those dropped (long), named by ``counts``."""
+    if min_docs > min_generalised:
+        raise ValueError("min_docs must be min_generalised at most, else one line alone may be a template that counts")
     id_, text = named(id_col, text_col)
     key = [id_.alias("_k"), F.xxhash64(text).alias("_t")]
     doc = F.struct("_k", "_t").alias("doc")
@@ -170,13 +193,21 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     owners = slim.select("h1", "h2", "doc", slot).join(some, "slot", "left_semi").select("h1", "h2", "doc")
     owners = owners.join(masked.where(F.col("docs") < min_generalised).select("h1", "h2"), ["h1", "h2"], "left_semi")
     tail = F.slice(F.split("m", " "), depth + 1, F.col("n") - depth)
-    # with min_docs above min_generalised one line alone may make a template that counts
-    rows = cut(_promising(rows, tail, similarity), "leaves") if min_docs <= min_generalised else rows.drop("kinds")
+    rows = cut(_promising(rows, tail, similarity), "leaves")
     found = lambda r: _templates(r, owners, tail, depth, min_generalised, constant, similarity)
     whole = cut(found(rows.withColumn("grp", F.lit(0).cast("long"))), "whole")
     # a group that changes anything holds a line which the whole leaf's template doesn't take
     settled = whole.select("h1", "h2")
-    general = whole.unionAll(found(cut(_groups(rows, settled, tail, depth, min_generalised, constant, similarity), "groups"))).select("h1", "h2", "first")
+    held, able = _groups(rows, settled, tail, depth, min_generalised, constant, similarity)
+    group, line = ["leaf1", "leaf2", "grp"], ["h1", "h2"]
+    # first the widest group of each open line, which mostly says all that the others can
+    widest = cut(able.groupBy(*line).agg(F.max_by(F.struct(*group), F.struct("pairs", "grp")).alias("g")).select("g.*").distinct(), "widest")
+    wide = cut(found(cut(_in_groups(rows, held, widest), "groups")), "wide")
+    own = rows.where(F.col("docs") >= min_docs).select(*line, F.col("first").alias("lead"))
+    known = own.unionAll(whole.unionAll(wide).select(*line, F.col("first").alias("lead"))).groupBy(*line).agg(F.min("lead").alias("lead"))
+    doubt = cut(_in_doubt(held, able, rows, settled, cut(known, "known"), widest, min_generalised), "doubt")
+    other = found(cut(_in_groups(rows, held, doubt), "groups"))
+    general = whole.unionAll(wide).unionAll(other).select("h1", "h2", "first")
 
     recurring = masked.where(F.col("docs") >= min_docs).select("h1", "h2", "first").unionAll(general).groupBy("h1", "h2").agg(F.min("first").alias("first"))
     recurring = cut(recurring, "recurring")  # so that Spark may split the join for a hot line

@@ -109,3 +109,25 @@ def test_columns_of_any_name(spark):
     out = line_dedup(df, counts=("l", "d"))
     assert out.columns == [*df.columns, "l", "d"]
     assert sorted(tuple(r) for r in out.collect()) == [(1, "x y", 1, 2, 3, 1, 0), (2, "", 4, 5, 6, 1, 1)]
+
+
+def test_many_leaves_against_brute_force(spark):
+    r = random.Random(21)
+    rows, n = [], 0
+    letters = "pqrstuvwxyz"
+    for leaf in range(120):
+        t, kinds, words = r.choice([2, 4, 8, 12]), r.choice([3, 8, 20, 40]), letters[: r.choice([2, 4, 11])]
+        forms = [[r.choice(words) for _ in range(t)] for _ in range(r.choice([1, 2, 3]))]
+        for _ in range(kinds):
+            base = r.choice(forms) if r.random() < 0.8 else [r.choice(letters) for _ in range(t)]
+            line = [w if r.random() < r.choice([0.7, 0.9]) else r.choice(letters) for w in base]
+            name = "".join(chr(97 + int(c)) for c in str(leaf))
+            rows.append((r.choice([n, r.randrange(5000, 5400)]), f"leaf {name} of tree " + " ".join(line)))
+            n += 1
+    texts = {}
+    for i, line in rows:
+        texts[i] = texts[i] + "\n" + line if i in texts else line
+    rows = sorted(texts.items())
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    got, want = sorted((tuple(x) for x in out.collect()), key=str), brute(rows)
+    assert sum(x[3] for x in want) > 300 and got == want

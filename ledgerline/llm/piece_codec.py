@@ -8,7 +8,8 @@ there is no shuffle, and memory is bounded by the table's limit.
 
 Defined results: null is encoded as the empty text (no ids, empty decoded
 text). Null ids and repeated rows are encoded like others, extra columns are
-ignored, an empty table gives an empty table.
+ignored whatever their names, an empty table gives an empty table. A text is
+encoded whole in one task, in memory of some twenty times its length.
 """
 
 from __future__ import annotations

@@ -391,7 +391,7 @@ l AS (SELECT *, lag(value) OVER w AS v, lag(ts_us) OVER w AS t FROM s WINDOW w A
 SELECT operation, ts_us, round((CASE WHEN value < v THEN value ELSE value - v END) * 1e6::DOUBLE / (ts_us - t), 9) AS rate FROM l WHERE v IS NOT NULL""")
 def counter_rate(spark, d):
     s = fx.requests(spark, d).withColumn("value", F.col("seq") % 1000)
-    return telemetry.counter_rate(s, ["operation"]).withColumn("rate", F.round("rate", 9))
+    return telemetry.counter_rate(s, ["operation"], ties=["seq"]).withColumn("rate", F.round("rate", 9))
 
 
 _BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0)

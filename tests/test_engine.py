@@ -267,6 +267,16 @@ def test_counter_reset_and_empty_histogram(spark):
     assert telemetry.histogram_quantile(b.where("n > 5"), 0.9, "k").collect() == []
 
 
+def test_counter_samples_of_one_time(spark):
+    rows = [("c", t * 1_000_000, v, i) for i, (t, v) in enumerate([(0, 1), (0, 4), (0, 4), (0, 2), (1, 5), (9000, 7), (9000, 6), (9001, 9)])]
+    s = spark.createDataFrame(rows, "k string, ts_us long, value long, seq long").repartition(3)
+    got = telemetry.counter_rate(s, ["k"], ties=["seq"]).collect()
+    inf = float("inf")
+    assert sorted((r.ts_us // 1_000_000, repr(r.rate)) for r in got) == sorted((t, repr(x)) for t, x in [(0, inf), (0, float("nan")), (0, inf), (1, 3.0), (9000, 2 / 8999), (9000, inf), (9001, 3.0)])
+    own = {repr(r.rate) for r in telemetry.counter_rate(s, ["k"]).where("ts_us = 9001000000").collect()}
+    assert own == {"2.0"}  # by value where nothing else orders a tie, on both sides of a slice's end
+
+
 def test_display(spark):
     r = spark.createDataFrame([("x" * 60, 2048)], "t string, n long").select(model.clip_text(F.col("t")), model.byte_text(F.col("n"))).first()
     assert len(r[0]) == 50 and r[0].endswith("...") and r[1] == "2.00 KB"

@@ -200,6 +200,17 @@ def test_binary_logs(spark, tmp_path):
     assert bl.read_log(spark, str(tmp_path / "empty.log")).count() == 0
 
 
+def test_logs_of_whole_batches(spark, tmp_path):
+    from ledgerline.sources import binary_log as bl
+
+    n = 2 * bl._BATCH  # the last batch of a file is empty
+    (tmp_path / "a.json").write_text("\n".join(json.dumps({"op": "PUT", "key": f"k{i}", "ver": i}) for i in range(n)))
+    (tmp_path / "b.log").write_bytes(b"".join(bl.write_record({"key": f"k{i}", "version": i, "ts_ns": 0, "tombstone": False}) for i in range(n)))
+    (tmp_path / "c.log").write_bytes(b"")
+    got = bl.read_log(spark, str(tmp_path)).coalesce(1).collect()
+    assert sorted((r.file[-6:], r.place, r.key) for r in got) == sorted((f, i, f"k{i}") for f in ("a.json", "/b.log") for i in range(n))
+
+
 def test_table_files(spark, tmp_path):
     import struct
 

@@ -30,7 +30,8 @@ documents, each distinct line once for a task, from the documents that hold one
 first; beyond some LEAF_SLOTS such leaves the broadcasts no longer hold texts and
 lines back: all are parsed again and the distinct lines of every leaf move.
 Where the template of a whole leaf takes a line, the groups of only such lines
-are left out. Texts move once, to meet the lines that go. What a join needs of a leaf, a
+are left out. The tokens of a group are counted where its lines meet, and dealt
+out beyond GROUP_TOKENS. Texts move once, to meet the lines that go. What a join needs of a leaf, a
 group or a line is written first, so that Spark may split the other side where
 one of them is hot.
 
@@ -82,11 +83,11 @@ def _promising(rows: DataFrame, tail: Column, similarity: float) -> DataFrame:
     met = small.groupBy("leaf1", "leaf2").agg(F.collect_list(tail).alias("t"))  # FEW_LINES at most
     pair = F.transform("t", lambda a, i: F.exists(F.slice("t", i + 2, FEW_LINES), lambda b: alike(a, b)))
     kept = cut(met.where(F.exists(pair, lambda e: e)).select("leaf1", "leaf2"), "promising")
-    return rows.where(F.col("kinds") > FEW_LINES).unionByName(small.join(kept, ["leaf1", "leaf2"], "left_semi")).drop("kinds")
+    return rows.where(F.col("kinds") > FEW_LINES).unionByName(small.join(kept, ["leaf1", "leaf2"], "left_semi"))
 
 
 def _groups(rows: DataFrame, settled: DataFrame, tail: Column, depth: int, least: int, constant: float, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(leaf1, leaf2, h1, h2, pairs, grp: the lines of groups; those of them for
+    """(leaf1, leaf2, h1, h2, pairs, kinds, grp: the lines of groups; those of them for
     which a group is kept). The lines of a leaf that share a token at a position
     are a group, with its pairs of line and document, if a line that isn't
     ``settled`` may meet its template; all others only repeat what is known. Groups of the same lines are one: they are known
@@ -98,14 +99,14 @@ def _groups(rows: DataFrame, settled: DataFrame, tail: Column, depth: int, least
     in a group than in its leaf, so a line meets none in groups beyond a size."""
     wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
     at, line = ["leaf1", "leaf2", "pos", "token"], ["h1", "h2"]
-    left = cut(rows.join(settled, line, "left_anti").drop("pairs"), "unsettled")
+    left = cut(rows.join(settled, line, "left_anti").drop("pairs", "kinds"), "unsettled")
     rows = rows.join(left.select("leaf1", "leaf2").distinct(), ["leaf1", "leaf2"], "left_semi")
     spread = lambda r: r.select("leaf1", "leaf2", "h1", "h2", "docs", F.posexplode(tail).alias("pos", "token"))
     asked = cut(spread(left).select(*at).distinct(), "asked")
     near = cut(spread(rows).join(asked, at, "left_semi"), "spread")
     shared = near.groupBy(*at).agg(F.sum("docs").alias("pairs"), F.count("*").alias("kinds"), wide("h1").alias("s1"), wide("h2").alias("s2"))
-    shared = cut(shared.where("kinds > 1").select(*at, "pairs", F.xxhash64("s1", "s2", "kinds").alias("grp")), "shared")
-    held = cut(near.join(shared, at).select("leaf1", "leaf2", *line, "pairs", "grp"), "held")
+    shared = cut(shared.where("kinds > 1").select(*at, "pairs", "kinds", F.xxhash64("s1", "s2", "kinds").alias("grp")), "shared")
+    held = cut(near.join(shared, at).select("leaf1", "leaf2", *line, "pairs", "kinds", "grp"), "held")
     places = held.groupBy(*line).agg(F.collect_list("pairs").alias("w"))  # a line's positions at most
     t, s = F.col("n") - depth, F.size("w")
     weights = F.sort_array(F.concat("w", F.array_repeat("docs", t - s)), asc=False)
@@ -119,7 +120,7 @@ def _groups(rows: DataFrame, settled: DataFrame, tail: Column, depth: int, least
 def _in_groups(rows: DataFrame, held: DataFrame, groups: DataFrame) -> DataFrame:
     """The lines of some groups, as _templates() takes them."""
     own = held.join(groups, ["leaf1", "leaf2", "grp"], "left_semi")
-    return rows.drop("pairs").join(own, ["leaf1", "leaf2", "h1", "h2"])
+    return rows.drop("pairs", "kinds").join(own, ["leaf1", "leaf2", "h1", "h2"])
 
 
 def _in_doubt(held: DataFrame, able: DataFrame, rows: DataFrame, settled: DataFrame, known: DataFrame, done: DataFrame, least: int) -> DataFrame:
@@ -141,6 +142,36 @@ FEW_LINES = 16
 #: Slots of the broadcasts that keep most texts and lines out of the search for
 #: variants; their size is fixed, and what passes wrongly meets the exact join.
 LEAF_SLOTS = 1 << 18
+#: Tokens of a group whose lines meet in one row; a larger group's are dealt out.
+GROUP_TOKENS = 1 << 16
+
+
+def _forms(rows: DataFrame, tail: Column, depth: int, constant: float, similarity: float) -> DataFrame:
+    """leaf1, leaf2, grp, form: the generalised template of every group that has
+    enough constant positions for a line to meet it, null where one isn't."""
+    group, t = ["leaf1", "leaf2", "grp"], F.col("n") - depth
+    size = F.col("kinds") * t
+    # no line can meet a template with fewer constant positions
+    enough = lambda f: F.size(F.filter(f, lambda x: x.isNotNull())) >= F.greatest(F.lit(1), similarity * t)
+    few = rows.where(size <= GROUP_TOKENS).groupBy(*group, "n", "pairs").agg(F.collect_list(F.struct("m", "docs")).alias("_of"))
+    lines = F.transform("_of", lambda x: F.struct(F.slice(F.split(x["m"], " "), F.lit(depth + 1), t).alias("t"), x["docs"].alias("docs")))
+    zero = F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).cast("long").alias("hits"), F.lit(None).cast("string").alias("best"), F.lit(0).cast("long").alias("most"))
+
+    def met(a: Column, x: Column) -> Column:  # tokens come in order, so the smaller of a tie stays
+        hits = F.when(a["token"] == x["token"], a["hits"] + x["docs"]).otherwise(x["docs"])
+        return F.struct(x["token"].alias("token"), hits.alias("hits"), F.when(hits > a["most"], x["token"]).otherwise(a["best"]).alias("best"), F.greatest(hits, a["most"]).alias("most"))
+
+    own = lambda o, i: F.array_sort(F.transform(o, lambda x: F.struct(F.get(x["t"], i).alias("token"), x["docs"].alias("docs"))))
+    best = lambda o, i: F.aggregate(own(o, i), zero, met, lambda a: F.when(a["most"] >= constant * F.col("pairs"), a["best"]))
+    form = lambda o: F.transform(F.sequence(F.lit(0), t - 1), lambda i: best(o, i))
+    # arrays of one, so that lines are split once and a form is found once
+    few = few.select(*group, F.explode(F.filter(F.transform(F.array(lines), form), enough)).alias("form"))
+
+    tokens = rows.where(size > GROUP_TOKENS).select(*group, "n", "pairs", "docs", F.posexplode(tail).alias("pos", "token")).groupBy(*group, "n", "pairs", "pos", "token").agg(F.sum("docs").alias("hits"))
+    kept = tokens.where(F.col("hits") >= constant * F.col("pairs")).groupBy(*group, "n", "pos").agg(F.min(F.struct((-F.col("hits")).alias("least"), "token")).alias("best"))
+    many = kept.groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("pos", "best.token"))).alias("_at"))
+    many = many.select(*group, "n", F.transform(F.sequence(F.lit(0), t - 1), lambda i: F.element_at("_at", i)).alias("form"))
+    return few.unionByName(many.where(enough(F.col("form"))).select(*group, "form"))
 
 
 def _templates(rows: DataFrame, owners: DataFrame, tail: Column, depth: int, least: int, constant: float, similarity: float) -> DataFrame:
@@ -148,12 +179,7 @@ def _templates(rows: DataFrame, owners: DataFrame, tail: Column, depth: int, lea
     of a group (leaf1, leaf2, grp) which recurs. ``owners`` are the documents of
     the lines that are in fewer than ``least``."""
     group = ["leaf1", "leaf2", "grp"]
-    tokens = rows.select(*group, "n", "pairs", "docs", F.posexplode(tail).alias("pos", "token")).groupBy(*group, "n", "pairs", "pos", "token").agg(F.sum("docs").alias("hits"))
-    kept = tokens.where(F.col("hits") >= constant * F.col("pairs")).groupBy(*group, "n", "pos").agg(F.min(F.struct((-F.col("hits")).alias("least"), "token")).alias("best"))
-    form = kept.groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("pos", "best.token"))).alias("_at"))
-    # no line can meet a template with fewer constant positions
-    form = form.where(F.size("_at") >= similarity * (F.col("n") - depth))
-    form = form.select(*group, F.transform(F.sequence(F.lit(0), F.col("n") - depth - 1), lambda i: F.element_at("_at", i)).alias("form"))
+    form = _forms(rows, tail, depth, constant, similarity)
     alike = F.size(F.filter(F.zip_with(tail, "form", lambda t, f: F.coalesce(t == f, F.lit(False))), lambda b: b))
     met = rows.join(cut(form, "forms"), group).where(alike >= similarity * (F.col("n") - depth))
     met = cut(met.select("h1", "h2", *group, "docs", "first"), "met")

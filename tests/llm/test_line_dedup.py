@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from ledgerline.llm import line_dedup as module
 from ledgerline.llm.line_dedup import line_dedup
 
 
@@ -131,3 +132,42 @@ def test_many_leaves_against_brute_force(spark):
     out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     got, want = sorted((tuple(x) for x in out.collect()), key=str), brute(rows)
     assert sum(x[3] for x in want) > 300 and got == want
+
+
+def dealt(plan):
+    """Rows that the generators of a plan that has run have made."""
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+    return own + sum(dealt(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_tokens_of_groups_are_counted_where_their_lines_meet(spark, monkeypatch):
+    r = random.Random(5)
+    lines = ["a b c d " + " ".join(r.choice("pq" if r.random() < 0.9 else "rst") for _ in range(12)) for _ in range(40)]
+    groups = [r.sample(range(40), r.randrange(2, 41)) for _ in range(40)]
+    rows = [(1, 2, g, lines[i], 16, 1 + i % 3, sum(1 + j % 3 for j in own), len(own)) for g, own in enumerate(groups) for i in own]
+    df = spark.createDataFrame(rows, "leaf1 long, leaf2 long, grp long, m string, n int, docs long, pairs long, kinds long")
+    tail = F.slice(F.split("m", " "), 5, F.col("n") - 4)
+
+    def forms(limit):
+        monkeypatch.setattr(module, "GROUP_TOKENS", limit)
+        out = module._forms(df, tail, 4, 0.5, 0.6)
+        return sorted((x.grp, x.form) for x in out.collect()), dealt(out._jdf.queryExecution().executedPlan())
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        (some, few), (same, all_), (mixed, _) = forms(1 << 16), forms(0), forms(200)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    want = {}
+    for g, own in enumerate(groups):
+        form = []
+        for p in range(4, 16):
+            c = Counter()
+            for i in own:
+                c[lines[i].split()[p]] += 1 + i % 3
+            tok, hits = min(c.items(), key=lambda x: (-x[1], x[0]))
+            form.append(tok if hits >= 0.5 * c.total() else None)
+        if 12 - form.count(None) >= 0.6 * 12:
+            want[g] = form
+    assert some == same == mixed == sorted(want.items()) and want
+    assert few == len(want) and all_ == 12 * len(rows)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "op string, key string, value string, ver long, ts long, vc map<string,bigint>"
+#: Records of a file at most.
+SEGMENT = 1 << 16
 
 
 def replay(spark: SparkSession, path: str) -> DataFrame:
@@ -22,11 +24,12 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append(entries: DataFrame, path: str) -> None:
-    """Append entries as JSON lines; clocks are kept."""
+    """Append entries as JSON lines; clocks are kept. Files are rolled at
+    SEGMENT records, as some readers take a file whole."""
     op = F.when(F.coalesce(F.col("tombstone"), F.lit(False)), "DEL").otherwise("PUT")
     clock = F.col("vclock") if "vclock" in entries.columns else F.lit(None).cast("map<string,bigint>")
     out = entries.select(op.alias("op"), "key", F.base64(F.col("value").cast("binary")).alias("value"), F.col("version").alias("ver"), F.col("ts_ns").alias("ts"), clock.alias("vc"))
-    out.write.mode("append").json(path)
+    out.write.mode("append").option("maxRecordsPerFile", SEGMENT).json(path)
 
 
 def count(spark: SparkSession, path: str) -> int:

@@ -211,6 +211,19 @@ def test_logs_of_whole_batches(spark, tmp_path):
     assert sorted((r.file[-6:], r.place, r.key) for r in got) == sorted((f, i, f"k{i}") for f in ("a.json", "/b.log") for i in range(n))
 
 
+def test_log_files_are_rolled(spark, tmp_path, monkeypatch):
+    from ledgerline.sources import binary_log as bl
+    from ledgerline.sources import wal
+
+    monkeypatch.setattr(wal, "SEGMENT", 10)
+    i = F.col("id")
+    rows = spark.range(35, numPartitions=1).select(F.concat(F.lit("k"), i).alias("key"), F.lit("v").alias("value"), i.alias("version"), i.alias("ts_ns"), F.lit(False).alias("tombstone"))
+    wal.append(rows, str(tmp_path / "log"))
+    got = bl.read_log(spark, str(tmp_path / "log/*.json")).collect()
+    assert sorted(r.version for r in got) == list(range(35)) == sorted(r.version for r in wal.replay(spark, str(tmp_path / "log")).collect())
+    assert len({r.file for r in got}) == 4 and max(r.place for r in got) == 9
+
+
 def test_table_files(spark, tmp_path):
     import struct
 

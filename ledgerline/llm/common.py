@@ -179,11 +179,24 @@ def then_released(fn):
     return run
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(batch) -> pa.RecordBatch | None`` over Arrow batches."""
+#: Bytes of a batch that are made into Python objects at a time.
+SLICE = 1 << 21
+
+
+def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches, in order, in views of about ``limit`` bytes; a row is never split."""
+    for b in batches:
+        step = max(1, b.num_rows * limit // max(1, b.nbytes))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
+def map_batches(df: DataFrame, fn, schema: str, limit: int | None = None) -> DataFrame:
+    """``fn(batch) -> pa.RecordBatch | None`` over Arrow batches, or with a
+    ``limit`` over slices of them."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, limit) if limit else batches:
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
 

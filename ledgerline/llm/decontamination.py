@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, named, then_released
+from .common import cut, named, slices, then_released
 
 
 #: Verified blocks that are remembered in a text.
@@ -276,7 +276,7 @@ def _search(packed: DataFrame, part, hits: str, error_rate: float, piece_chars:
 
         matcher = Matcher(part.value, error_rate, piece_chars)
         want = to_arrow_schema(kind).field(0).type
-        for b in batches:
+        for b in slices(batches):
             got = [[{"item_id": i, "distance": d, "end": e} for n, d, e in matcher.find(normalise(t)) for i in matcher.items[n][1]] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, want)], ["_row", "_new"])
 

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding through a distinct-chunk table.
 
-Each distinct marked word is segmented, and its ids decoded, once for a Python
-process; documents join the ids and the texts back by position. That is exact
+Each distinct marked word is segmented, and its ids decoded, once for a task
+(its worker lives on beside later stages, so the table goes); documents join the ids and the texts back by position. That is exact
 when pieces cannot cross whitespace markers, which is checked on the model; a
 model that fails the check is run over whole texts instead. Rows never move:
 there is no shuffle, and memory is bounded by the table's limit.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import then_released
+from .common import slices, then_released
 from .pieces import load, marked_words, text_runs, word_table
 
 
@@ -31,10 +31,17 @@ def _decoded(words, text_of: dict[int, str], codes: np.ndarray) -> str:
 
 def _coder(model: str):
     def fn(batches):
-        sp, words = load(model), word_table(model)
+        words = word_table(model)
+        try:
+            yield from coded(batches, load(model), words)
+        finally:
+            if words is not None:
+                words.clear()
+
+    def coded(batches, sp, words):
         text_of: dict[int, str] = {}
         table = None
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             for lo, hi in text_runs(texts):
                 part = texts[lo:hi]

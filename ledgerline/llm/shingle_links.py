@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexed, as_bytes, cut, map_batches, mix64, runs_by_size, then_released
+from .common import SLICE, Lexed, as_bytes, cut, map_batches, mix64, runs_by_size, slices, then_released
 
 BANDS, ROWS = 20, 4
 _SALTS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
@@ -71,7 +71,7 @@ def similar_links(df: DataFrame, text_col: str = "text", shingle: int = 5, simil
 
     def bands(batches):
         seen: set[int] = set()  # a task's copies of a text are one
-        for b in batches:
+        for b in slices(batches):
             texts = as_bytes(b.column(1))
             new = [i for i, h in enumerate(b.column(0).to_pylist()) if not (h in seen or seen.add(h))]
             keys, found = [], []
@@ -102,4 +102,4 @@ def similar_links(df: DataFrame, text_col: str = "text", shingle: int = 5, simil
         same = [jaccard(sets[x], sets[y]) >= similarity for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    return map_batches(both.select("a", "b", "_one", "_two"), verify, "a long, b long")
+    return map_batches(both.select("a", "b", "_one", "_two"), verify, "a long, b long", SLICE)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexed, as_bytes, cut, map_batches, runs_by_size, shuffle_partitions, then_released
+from .common import SLICE, Lexed, as_bytes, cut, map_batches, runs_by_size, shuffle_partitions, then_released
 
 BITS = 64
 SLAB = 1 << 21
@@ -80,7 +80,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["_id", "fp"])
 
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    return map_batches(docs, fn, f"_id {kind}, fp long").withColumnRenamed("_id", id_col)
+    return map_batches(docs, fn, f"_id {kind}, fp long", SLICE).withColumnRenamed("_id", id_col)
 
 
 def flips(width: int, most: int) -> np.ndarray:

@@ -21,7 +21,7 @@ def test_slices_hold_all_rows_in_order():
     assert len(list(common.slices([rows], 1 << 30))) == 1
 
 
-def test_no_stage_makes_objects_of_a_whole_batch(spark):
+def test_the_scorer_gets_no_whole_batch(spark):
     """The largest run of texts that the scorer gets, of one batch."""
     r = random.Random(1)
     words = [f"word{i}" for i in range(500)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import percentiles as pct
@@ -386,12 +386,20 @@ def ops_per_second(spark, d):
     return telemetry.per_period(fx.requests(spark, d), 1_000_000, "operation")
 
 
+def _as_sql_rounds(column: str, places: int) -> Column:
+    """A double rounded as the SQL's round() does: multiplied, rounded to a whole
+    number, divided. F.round rounds the decimal digits instead, and gives another
+    last digit near a half and where the product is over 2^53."""
+    scaled = F.col(column) * F.lit(10.0**places)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / F.lit(10.0**places)).otherwise(F.col(column))
+
+
 @query("""WITH s AS (SELECT event_type AS operation, epoch_us(ts) AS ts_us, event_id % 1000 AS value FROM events),
 l AS (SELECT *, lag(value) OVER w AS v, lag(ts_us) OVER w AS t FROM s WINDOW w AS (PARTITION BY operation ORDER BY ts_us))
 SELECT operation, ts_us, round((CASE WHEN value < v THEN value ELSE value - v END) * 1e6::DOUBLE / (ts_us - t), 9) AS rate FROM l WHERE v IS NOT NULL""")
 def counter_rate(spark, d):
     s = fx.requests(spark, d).withColumn("value", F.col("seq") % 1000)
-    return telemetry.counter_rate(s, ["operation"], ties=["seq"]).withColumn("rate", F.round("rate", 9))
+    return telemetry.counter_rate(s, ["operation"], ties=["seq"]).withColumn("rate", _as_sql_rounds("rate", 9))
 
 
 _BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0)

@@ -52,3 +52,20 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_counter_rate_rounds_as_its_sql(spark, tmp_path):
+    # rates whose ninth decimal hangs on how they are rounded, some over 2^53 / 1e9; the last rows tie in time
+    gaps = [(403, 151), (571, 127), (613, 185), (976, 269), (613, 174), (787, 1116), (553, 67), (924, 3482), (999, 1), (7, 30_000_000)]
+    events, at = [], 0
+    for i, (value, gap) in enumerate(gaps):
+        events += [(2000 * i, at + 1), (2000 * i + value, at + 1 + gap)]
+        at += 1 + gap
+    events += [(1_000_000 * k + value, at) for k, value in ((1, 7), (2, 7))]
+    source = ", ".join(f"({i}, {t})" for i, t in events)
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i::BIGINT AS event_id, make_timestamp(t::BIGINT) AS ts, 1::BIGINT AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '' AS props FROM (VALUES {source}) r(i, t)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = QUERIES["counter_rate"](spark, str(tmp_path))
+    want = con.execute(ORACLES["counter_rate"])
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in want.description], want.fetchall())
